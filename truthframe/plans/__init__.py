@@ -1,0 +1,11 @@
+"""Registered queries over the driver's tables, with the SQL they must equal."""
+
+from __future__ import annotations
+
+
+def core_queries() -> dict:
+    return {}
+
+
+def core_oracles() -> dict[str, str]:
+    return {}
