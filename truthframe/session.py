@@ -7,11 +7,14 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
@@ -34,7 +37,24 @@ def get_spark(app: str = "truthframe", master: str | None = None, partitions: in
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Hands this package to the session's Python workers, once, so that they need no copy on their path."""
+    sc = spark.sparkContext
+    at = urlparse(shared_dir(spark))
+    if sc.applicationId in _SHIPPED or at.scheme not in ("", "file"):
+        return
+    _SHIPPED.add(sc.applicationId)
+    package = Path(__file__).resolve().parent
+    Path(at.path).mkdir(parents=True, exist_ok=True)
+    target = Path(at.path, f"{package.name}-{uuid.uuid4().hex}.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(target))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
