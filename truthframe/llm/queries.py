@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from truthframe.llm.formatting import formatting_groups, formatting_members
+from truthframe.llm.mixing import Mixture
 from truthframe.llm.near import near_groups
 from truthframe.llm.overlap import cross_overlaps
+from truthframe.llm.packing import fill_containers, fill_report
 from truthframe.llm.related import related_groups, related_splits, split_report, university_numbers
+from truthframe.llm.spans import SharedSpans
 from truthframe.llm.splitting import split_oversized
 from truthframe.llm.terms import marked_terms
 from truthframe.session import table
@@ -87,6 +90,35 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_groups(_train(spark, d))
 
 
+def p7_bins(spark: SparkSession, d: str) -> DataFrame:
+    return fill_containers(table(spark, d, "documents"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return fill_report(fill_containers(table(spark, d, "documents")))
+
+
+def p8_draws(spark: SparkSession, d: str) -> DataFrame:
+    return Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).draws()
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).report()
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return SharedSpans(table(spark, d, "documents")).documents()
+
+
+def p9_characters(spark: SparkSession, d: str) -> DataFrame:
+    return SharedSpans(table(spark, d, "documents")).characters()
+
+
+def p9_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Passages of at least 200 characters, exact or with small differences, that a document and a partner hold."""
+    return SharedSpans(table(spark, d, "documents")).passages().filter("end - start >= 200")
+
+
 _P1_SQL = r"""
 SELECT row_id FROM train_data
 WHERE len(regexp_extract_all(body, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\r]')) > 1024
@@ -119,7 +151,10 @@ SELECT row_id, min(root) AS group_key FROM named JOIN reach USING (key) GROUP BY
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p2_found, p2_overlaps, p2_report, p3_found, p3_terms, p4_found, p4_splits, p4_report, p5_found, p5_records, p6_found, p6_groups)
+    for f in (
+        p1_found, p1_pieces, p2_found, p2_overlaps, p2_report, p3_found, p3_terms, p4_found, p4_splits, p4_report, p5_found, p5_records, p6_found, p6_groups,
+        p7_bins, p7_report, p8_draws, p8_report, p9_found, p9_characters, p9_passages,
+    )
 }
 
 ORACLES: dict[str, str] = {
