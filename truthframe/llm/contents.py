@@ -135,7 +135,7 @@ def contents(df: DataFrame, id_col: str = "row_id", body_col: str = "body", leas
 
     ``content`` is a 128-bit hash of the set, equal for equal contents; ``n`` the number of distinct triples,
     ``triples`` their sorted identifiers, ``cid`` the first 64 bits of ``content``. Null, empty and broken bodies
-    and those of fewer than ``least`` distinct triples have no row. Repeated rows stay repeated; other columns
+    and those of fewer than ``least`` distinct triples have no row, nor have rows without an id. Repeated rows stay repeated; other columns
     of ``df`` are ignored, whatever their names.
     """
     schema = "id long, content binary, n int" + (", cid long, triples array<long>" if keep_triples else "")
@@ -150,7 +150,7 @@ def contents(df: DataFrame, id_col: str = "row_id", body_col: str = "body", leas
                 cols += [pa.array(cid), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tid.view(np.int64)))]
             yield pa.RecordBatch.from_arrays(cols, names=["id", "content", "n", "cid", "triples"][: len(cols)])
 
-    picked = df.select(F.col(id_col).cast("long").alias("id"), F.col(body_col).alias("body")).filter("body is not null")
+    picked = df.select(F.col(id_col).cast("long").alias("id"), F.col(body_col).alias("body")).filter("id is not null and body is not null")
     return picked.mapInArrow(run, schema)
 
 
