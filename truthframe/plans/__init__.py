@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+_MODULES = ("logic", "graphs", "interactions", "text", "ontology", "streams")
+
+
+def _load() -> None:
+    for m in _MODULES:
+        import_module(f"truthframe.plans.{m}")
+
 
 def core_queries() -> dict:
-    return {}
+    from truthframe.plans.registry import QUERIES
+
+    _load()
+    return dict(QUERIES)
 
 
 def core_oracles() -> dict[str, str]:
-    return {}
+    from truthframe.plans.registry import ORACLES
+
+    _load()
+    return dict(ORACLES)
