@@ -40,11 +40,11 @@ def history_signed(spark, d):
 
 @query(f"""
 SELECT e.event_id, coalesce(h.history, '') AS history FROM {_EVENTS} e
-LEFT JOIN (SELECT uid, string_agg(iid, ',' ORDER BY time, event_id) AS history FROM {_EVENTS} WHERE label > 0 AND event_id % 10 < 8 GROUP BY uid) h USING (uid)
+LEFT JOIN (SELECT uid, string_agg(iid, ',' ORDER BY time, event_id) AS history FROM {_EVENTS} WHERE label > 0 GROUP BY uid) h USING (uid)
 """)
 def history_full(spark, d):
     e = _events(spark, d)
-    return I.full_history(e, e.filter("event_id % 10 < 8"), ("time", "event_id")).select("event_id", _text(F.col("history")).alias("history"))
+    return I.full_history(e, e, ("time", "event_id")).select("event_id", _text(F.col("history")).alias("history"))
 
 
 @query(f"SELECT uid, string_agg(iid, ',' ORDER BY time, event_id) AS iids FROM {_EVENTS} WHERE label > 0 GROUP BY uid")
@@ -106,14 +106,11 @@ def column_ranges(spark, d):
     return I.column_ranges(rows.filter("l_linenumber < 4"), rows.filter("l_linenumber >= 4"))
 
 
-@query(f"""
-SELECT event_id, n_name, event_type FROM {_EVENTS} LEFT JOIN nation ON n_nationkey = uid % 40 LEFT JOIN (SELECT event_id AS iid, event_type FROM events WHERE event_id < 50) USING (iid)
-""")
+@query(f"SELECT event_id, c_mktsegment, p_brand FROM {_EVENTS} LEFT JOIN customer ON c_custkey = uid LEFT JOIN part ON p_partkey = iid")
 def feature_join(spark, d):
-    users = table(spark, d, "nation").select(F.col("n_nationkey").alias("u"), "n_name")
-    items = table(spark, d, "events").filter("event_id < 50").select(F.col("event_id").alias("iid"), "event_type")
-    e = _events(spark, d).withColumn("u", (F.col("uid") % 40).cast("int"))
-    return I.with_features(e, users, items, "u").select("event_id", "n_name", "event_type")
+    users = table(spark, d, "customer").select(F.col("c_custkey").alias("uid"), "c_mktsegment")
+    items = table(spark, d, "part").select(F.col("p_partkey").alias("iid"), "p_brand")
+    return I.with_features(_events(spark, d), users, items).select("event_id", "c_mktsegment", "p_brand")
 
 
 _SPLIT = """
@@ -209,7 +206,7 @@ def rank_metrics_at_k(spark, d):
 
 
 @query(f"""
-WITH r AS (SELECT l_orderkey, label, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, l_linenumber) AS rank FROM {_SCORES}),
+WITH r AS (SELECT l_orderkey, label, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, l_linenumber, label) AS rank FROM {_SCORES}),
 h AS (SELECT *, sum(label) OVER (PARTITION BY l_orderkey ORDER BY rank) AS hits FROM r)
 SELECT round(avg(mrr), 6) AS mrr, round(avg(ap), 6) AS map, round(avg(rp), 6) AS r_precision FROM (
   SELECT l_orderkey, coalesce(1 / min(rank) FILTER (label = 1), 0) AS mrr, coalesce(avg(hits / rank) FILTER (label = 1), 0) AS ap, coalesce(sum(label) / max(rank) FILTER (label = 1), 0) AS rp FROM h GROUP BY l_orderkey)

@@ -31,20 +31,20 @@ CONNECTIVES = {
 
 
 def _xy(spark, d):
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", (F.col("l_discount") * 10).alias("x"), (F.col("l_tax") * 12.5).alias("y"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.sqrt(F.col("l_discount") * 10).alias("x"), F.sqrt(F.col("l_tax") * 12.5).alias("y"))
 
 
-@query("SELECT l_orderkey, l_linenumber, " + ", ".join(f"round({sql}, 9) AS {n}" for n, (sql, _) in CONNECTIVES.items()) + " FROM (SELECT *, l_discount * 10 AS x, l_tax * 12.5 AS y FROM lineitem)")
+@query("SELECT l_orderkey, l_linenumber, " + ", ".join(f"round({sql}, 6) AS {n}" for n, (sql, _) in CONNECTIVES.items()) + " FROM (SELECT *, sqrt(l_discount * 10) AS x, sqrt(l_tax * 12.5) AS y FROM lineitem)")
 def fuzzy_connectives(spark, d):
     x, y = F.col("x"), F.col("y")
-    return _xy(spark, d).select("l_orderkey", "l_linenumber", *(F.round(f(x, y), 9).alias(n) for n, (_, f) in CONNECTIVES.items()))
+    return _xy(spark, d).select("l_orderkey", "l_linenumber", *(F.round(f(x, y), 6).alias(n) for n, (_, f) in CONNECTIVES.items()))
 
 
 @query("""
 SELECT l_returnflag, round(min(x), 6) AS min_v, round(max(x), 6) AS max_v, round(avg(x), 6) AS mean_v,
   round(sqrt(avg(pow(x * 0.9999 + 0.0001, 2))), 6) AS pmean_v, round(1 - sqrt(avg(pow(1 - x * 0.9999, 2))), 6) AS pmean_error_v,
   round(sum(ln(x * 0.9999 + 0.0001)), 3) AS sum_log_v
-FROM (SELECT l_returnflag, l_discount * 10 AS x FROM lineitem) GROUP BY l_returnflag
+FROM (SELECT l_returnflag, sqrt(l_discount * 10) AS x FROM lineitem) GROUP BY l_returnflag
 """)
 def fuzzy_aggregators(spark, d):
     x = F.col("x")
@@ -105,25 +105,26 @@ SELECT a.vec_id AS a, b.vec_id AS b,
   round(exp(-0.1 * list_distance(a.e, b.e)), 6) AS by_exp, round(1 / (1 + 0.1 * list_distance(a.e, b.e)), 6) AS by_inv,
   CASE WHEN a.e = b.e THEN 1.0 ELSE 0.0 END AS strict
 FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings) a
-JOIN (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings) b ON a.label = b.label AND a.vec_id < b.vec_id
+JOIN (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings) b ON a.label = b.label AND a.vec_id % 20 = 0
 """)
 def smooth_equality(spark, d):
+    """Every twentieth vector as a query against all vectors of its label."""
     e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
     a, b = e.toDF("a", "label", "ea"), e.toDF("b", "label", "eb")
     ea, eb = F.col("ea"), F.col("eb")
-    return a.join(b, "label").filter("a < b").select(
+    return a.filter("a % 20 = 0").join(b, "label").select(
         "a", "b", F.round(fuzzy.equal_smooth_exp(ea, eb, 0.1), 6).alias("by_exp"), F.round(fuzzy.equal_smooth_inv(ea, eb, 0.1), 6).alias("by_inv"), fuzzy.equal_strict(ea, eb).alias("strict")
     )
 
 
 @query("""
-WITH v AS (SELECT vec_id, label, embedding[1:3]::DOUBLE[] AS z FROM embeddings),
+WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS z FROM embeddings),
 m AS (SELECT *, list_max(z) AS top FROM v), e AS (SELECT *, list_transform(z, lambda x: exp(x - top)) AS ex FROM m)
-SELECT vec_id, round(ex[label % 3 + 1] / list_sum(ex), 6) AS single, round(1 / (1 + exp(-z[label % 3 + 1])), 6) AS multi FROM e
+SELECT vec_id, round(ex[label % len(ex) + 1] / list_sum(ex), 6) AS single, round(1 / (1 + exp(-z[label % len(ex) + 1])), 6) AS multi FROM e
 """)
 def class_predicate(spark, d):
-    v = table(spark, d, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 3).cast("array<double>").alias("z"))
-    i = F.col("label") % 3
+    v = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("z"))
+    i = F.col("label") % F.size("z")
     return v.select("vec_id", F.round(fuzzy.class_truth(F.col("z"), i), 6).alias("single"), F.round(fuzzy.class_truth(F.col("z"), i, True), 6).alias("multi"))
 
 
@@ -212,13 +213,13 @@ def contradictions(spark, d):
 
 @query(f"""
 SELECT coalesce(a.k, b.k) AS k, greatest(coalesce(a.l, 0.0), coalesce(b.l, 0.0)) AS l, least(coalesce(a.u, 1.0), coalesce(b.u, 1.0)) AS u
-FROM (SELECT s_suppkey AS k, l, u FROM {_STATE_ROWS} WHERE s_suppkey % 3 > 0) a
-FULL JOIN (SELECT s_suppkey % 50 AS k, max(s_suppkey % 4 / 4.0) AS l, min(0.5 + s_suppkey % 3 / 4.0) AS u FROM supplier GROUP BY 1) b ON a.k = b.k
+FROM (SELECT s_suppkey AS k, l, u FROM {_STATE_ROWS}) a
+FULL JOIN (SELECT s_suppkey // 2 * 3 AS k, max(s_suppkey % 4 / 4.0) AS l, min(0.5 + s_suppkey % 3 / 4.0) AS u FROM supplier GROUP BY 1) b ON a.k = b.k
 """)
 def tighten(spark, d):
-    """Every third supplier has no bounds yet; proofs come several to a key."""
-    known = R.Relation(_state_rows(spark, d).withColumnRenamed("s_suppkey", "k").filter("k % 3 > 0"), ["k"])
-    proofs = table(spark, d, "supplier").select((F.col("s_suppkey") % 50).alias("k"), (F.col("s_suppkey") % 4 / 4).alias("l"), (F.col("s_suppkey") % 3 / 4 + 0.5).alias("u"))
+    """Proofs come several to a key, some of them for keys without bounds."""
+    known = R.Relation(_state_rows(spark, d).withColumnRenamed("s_suppkey", "k"), ["k"])
+    proofs = table(spark, d, "supplier").select((F.floor(F.col("s_suppkey") / 2) * 3).alias("k"), (F.col("s_suppkey") % 4 / 4).alias("l"), (F.col("s_suppkey") % 3 / 4 + 0.5).alias("u"))
     return known.tighten(proofs).df
 
 
@@ -291,10 +292,10 @@ def _nation_pairs(spark, d):
     return pairs.select("r", F.col("x").alias("x1"), F.col("y").alias("x2"), F.round(F.abs("v_diff"), 6).alias("v"))
 
 
-@query("SELECT n_regionkey AS r, n_nationkey AS x1, s_suppkey AS x2 FROM nation JOIN supplier ON n_nationkey = s_nationkey OR TRUE WHERE s_suppkey <= 10")
+@query("SELECT n_regionkey AS r, n_nationkey AS x1, r_regionkey AS x2 FROM nation CROSS JOIN region")
 def expand(spark, d):
     n = table(spark, d, "nation").select(F.col("n_regionkey").alias("r"), F.col("n_nationkey").alias("x1"))
-    return relalg.expand(n, table(spark, d, "supplier").filter("s_suppkey <= 10").select("s_suppkey"), "x2")
+    return relalg.expand(n, table(spark, d, "region").select("r_regionkey"), "x2")
 
 
 @query("""
@@ -306,9 +307,9 @@ def permute(spark, d):
     return relalg.permute(p, ["x1", "x2"], ["v"], ["r"])
 
 
-@query("SELECT a.p_brand, a.p_partkey AS x, b.p_partkey AS y, a.p_size < b.p_size AS p_size_lt, a.p_size = b.p_size AS p_size_eq, a.p_size > b.p_size AS p_size_gt FROM part a JOIN part b ON a.p_brand = b.p_brand WHERE a.p_partkey <> b.p_partkey")
+@query("SELECT a.p_brand, a.p_type, a.p_partkey AS x, b.p_partkey AS y, a.p_size < b.p_size AS p_size_lt, a.p_size = b.p_size AS p_size_eq, a.p_size > b.p_size AS p_size_gt FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type WHERE a.p_partkey <> b.p_partkey")
 def cmp_meshgrid(spark, d):
-    return relalg.meshgrid(table(spark, d, "part"), "p_partkey", ["p_size"], "cmp", ["p_brand"], exclude_self=True)
+    return relalg.meshgrid(table(spark, d, "part"), "p_partkey", ["p_size"], "cmp", ["p_brand", "p_type"], exclude_self=True)
 
 
 @query("SELECT r, round(avg(v) FILTER (v > 0.2), 6) AS v_mean, max(v) FILTER (v > 0.2) AS v_max FROM (SELECT n_regionkey AS r, round((n_nationkey % 7) / 7.0, 6) AS v FROM nation) GROUP BY r")

@@ -1 +1,210 @@
+"""Text, triple and encoding operators over documents, events and the module tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from truthframe.functions import text as X
+from truthframe.operators import ontology as O
+from truthframe.operators import patterns as P
+from truthframe.operators import triples as T
+from truthframe.plans.registry import query
+from truthframe.session import table
+
+
+@query(r"""
+SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '[^A-Za-z0-9_]+'), lambda x: x <> ''), ' ') AS words,
+  len(list_filter(regexp_split_to_array(rtrim(trim(text), ','), '[\s(),;]+'), lambda x: x <> '')) AS pieces FROM documents
+""")
+def tokenise(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", F.array_join(X.word_tokens(F.col("text")), " ").alias("words"), F.size(X.expression_tokens(F.col("text"))).alias("pieces"))
+
+
+@query(r"""
+WITH t AS (SELECT unnest(regexp_split_to_array(lower(text), '[^A-Za-z0-9_]+')) AS token FROM documents),
+c AS (SELECT token, count(*) AS n FROM t WHERE token <> '' GROUP BY token HAVING count(*) >= 5)
+SELECT token, n, row_number() OVER (ORDER BY n DESC, token) + 1 AS id FROM c ORDER BY n DESC, token LIMIT 200
+""")
+def vocab_topk(spark, d):
+    """The report is of the 200 most frequent words; all are counted."""
+    docs = table(spark, d, "documents")
+    return T.vocabulary(docs.select(F.explode(X.word_tokens(F.col("text"))).alias("token")), least=5, most=200)
+
+
+@query("""
+SELECT doc_id, array_to_string(list_transform(list_filter([1, 2, 3, 5, 10, 20, 50, 100, 200, 500, 1000], lambda b: n_chars // 10 >= b), lambda b: 'n>=' || b), ',') AS features FROM documents
+""")
+def bucket_features(spark, d):
+    n = F.floor(F.col("n_chars") / 10)
+    return table(spark, d, "documents").select("doc_id", F.array_join(X.bucket_features("n", n), ",").alias("features"))
+
+
+@query(r"""
+SELECT p_partkey, regexp_extract(iri, '([^/#]*)[/#]?$', 1) AS local, regexp_extract(iri, '^(.*[/#])[^/#]*$', 1) AS base, lower(p_type) AS plain
+FROM (SELECT p_partkey, p_type, 'http://x.org/' || replace(p_brand, '#', '/') || '#' || p_name AS iri FROM part)
+""")
+def iri_parts(spark, d):
+    iri = F.concat(F.lit("http://x.org/"), F.replace("p_brand", F.lit("#"), F.lit("/")), F.lit("#"), F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", X.local_name(iri).alias("local"), X.base_iri(iri).alias("base"), F.lower("p_type").alias("plain"))
+
+
+@query("""
+SELECT a.p_partkey AS x, b.p_partkey AS y, round(CASE WHEN a.p_name = b.p_name THEN 1.0 ELSE exp(-levenshtein(a.p_name, b.p_name)::DOUBLE / (length(a.p_name) + length(b.p_name) - levenshtein(a.p_name, b.p_name))) END, 9) AS likeness
+FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey
+""")
+def edit_similarity(spark, d):
+    p = table(spark, d, "part")
+    a, b = p.select("p_brand", "p_size", F.col("p_partkey").alias("x"), F.col("p_name").alias("nx")), p.select("p_brand", "p_size", F.col("p_partkey").alias("y"), F.col("p_name").alias("ny"))
+    return a.join(b, ["p_brand", "p_size"]).filter("x < y").select("x", "y", F.round(X.edit_similarity(F.col("nx"), F.col("ny")), 9).alias("likeness"))
+
+
+@query()
+def isub_similarity(spark, d):
+    n, r = table(spark, d, "nation").select("n_name"), table(spark, d, "region").select("r_name")
+    return n.crossJoin(F.broadcast(r)).select("n_name", "r_name", F.round(X.isub("n_name", "r_name"), 9).alias("likeness"))
+
+
+@query("""
+SELECT event_id, ('0x' || substr(h, 1, 16))::UBIGINT % 64 AS index, (CASE WHEN ('0x' || substr(h, 17, 2))::INT % 2 = 1 THEN -1.0 ELSE 1.0 END) * (1 + ('0x' || substr(h, 19, 2))::INT / 255) AS weight
+FROM (SELECT event_id, sha256(event_type || event_id) AS h FROM events)
+""")
+def hash_slots(spark, d):
+    h = X.hash_slot(F.concat("event_type", F.col("event_id").cast("string")), 64)
+    return table(spark, d, "events").select("event_id", h.alias("h")).select("event_id", "h.index", "h.weight")
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^A-Za-z0-9_]+')) AS token FROM documents),
+h AS (SELECT doc_id, sha256(token) AS h FROM t WHERE token <> ''),
+w AS (SELECT doc_id, ('0x' || substr(h, 1, 16))::UBIGINT % 16 AS index, sum((CASE WHEN ('0x' || substr(h, 17, 2))::INT % 2 = 1 THEN -1.0 ELSE 1.0 END) * (1 + ('0x' || substr(h, 19, 2))::INT / 255)) AS v FROM h GROUP BY ALL)
+SELECT doc_id, index, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 6) AS value FROM w WHERE v <> 0
+""")
+def hash_embed(spark, d):
+    docs = table(spark, d, "documents")
+    tokens = docs.select("doc_id", F.explode(X.word_tokens(F.col("text"))).alias("token"))
+    return T.hash_embedding(tokens, "doc_id", 16).withColumn("value", F.round("value", 6))
+
+
+@query("SELECT l_orderkey, l_linenumber, (f = 1 AND r = 0) OR (s = 1 AND NOT f = 1 AND r = 1) AS holds FROM (SELECT *, (l_linestatus = 'F')::INT AS f, (l_returnflag = 'R')::INT AS r, (l_shipdate < '1996-01-01')::INT AS s FROM lineitem)")
+def dnf_eval(spark, d):
+    bit = lambda c: c.cast("int")
+    flags = F.create_map(F.lit(1), bit(F.col("l_linestatus") == "F"), F.lit(2), bit(F.col("l_returnflag") == "R"), F.lit(3), bit(F.col("l_shipdate") < "1996-01-01"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", X.dnf_holds(X.parse_dnf(F.lit("(1 ^ ~2) v (3 ^ ~1 ^ 2)")), flags).alias("holds"))
+
+
+# triples: events as (user, type, props), nations as ontologies
+
+
+def _event_triples(spark, d):
+    e = table(spark, d, "events")
+    o = F.concat(F.lit("some "), F.get_json_object("props", "$.k"))
+    return e.select(F.col("user_id").alias("onto"), F.col("event_id").alias("pos"), F.col("event_type").alias("s"), F.concat(F.lit("p"), F.col("event_id") % 3).alias("p"), o.alias("o"))
+
+
+_TRIPLES = "(SELECT user_id AS onto, event_id AS pos, event_type AS s, 'p' || event_id % 3 AS p, 'some ' || json_extract_string(props, '$.k') AS o FROM events)"
+
+
+@query(f"""
+SELECT onto, e AS entity, row_number() OVER (PARTITION BY onto ORDER BY min(a)) + 1 AS local_id FROM (SELECT onto, s AS e, pos * 2 AS a FROM {_TRIPLES} UNION ALL SELECT onto, o, pos * 2 + 1 FROM {_TRIPLES}) GROUP BY onto, e
+""")
+def local_ids(spark, d):
+    return T.local_ids(_event_triples(spark, d))
+
+
+@query(f"""
+WITH e AS (SELECT onto, e, row_number() OVER (PARTITION BY onto ORDER BY min(a)) + 1 AS id FROM (SELECT onto, s AS e, pos * 2 AS a FROM {_TRIPLES} UNION ALL SELECT onto, o, pos * 2 + 1 FROM {_TRIPLES}) GROUP BY onto, e),
+v AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 1 AS id FROM (SELECT p || '::some' AS token, count(*) AS n FROM {_TRIPLES} GROUP BY 1 HAVING count(*) > 3333))
+SELECT t.onto, pos, a.id AS s_id, coalesce(v.id, 1) AS p_id, b.id AS o_id FROM {_TRIPLES} t JOIN e a ON a.onto = t.onto AND a.e = t.s JOIN e b ON b.onto = t.onto AND b.e = t.o LEFT JOIN v ON v.token = t.p || '::some'
+""")
+def encode_triples(spark, d):
+    t = _event_triples(spark, d)
+    predicates = T.vocabulary(t.select(F.concat("p", F.lit("::some")).alias("token")), least=3334)
+    return T.encode_triples(t, predicates)
+
+
+@query(f"""
+WITH t AS (SELECT * FROM {_TRIPLES}), u AS (SELECT onto, p, count(*) AS n FROM t GROUP BY ALL)
+SELECT DISTINCT * FROM (
+  SELECT onto, unnest(['pred=' || p, 'obj_op=some', 'pred_op=' || p || '::some', 'obj_token=' || substr(o, 6), 'pred_obj_token=' || p || '::' || substr(o, 6)]) AS feature FROM t
+  UNION ALL SELECT onto, unnest(list_transform(list_filter([1, 2, 3, 5, 10, 20, 50, 100], lambda b: n >= b), lambda b: 'pred_count=' || p || '>=' || b)) FROM u
+  UNION ALL SELECT a.onto, 'pred_pair=' || a.p || '&&' || b.p FROM u a JOIN u b ON a.onto = b.onto AND a.p < b.p
+  UNION ALL SELECT onto, unnest(list_transform(list_filter([1, 2, 3, 5, 10, 20, 50, 100, 200, 500, 1000], lambda b: n >= b), lambda b: k || '>=' || b)) FROM (
+    SELECT onto, 'n_triples' AS k, count(*) AS n FROM t GROUP BY onto UNION ALL SELECT onto, 'n_subjects', count(DISTINCT s) FROM t GROUP BY onto
+    UNION ALL SELECT onto, 'n_objects', count(DISTINCT o) FROM t GROUP BY onto UNION ALL SELECT onto, 'n_entities', count(DISTINCT e) FROM (SELECT onto, s AS e FROM t UNION ALL SELECT onto, o FROM t) GROUP BY onto)
+  UNION ALL SELECT onto, unnest(list_transform(list_filter([1, 2, 3, 4, 5, 8, 12, 20, 40], lambda b: n >= b), lambda b: 'n_predicates>=' || b)) FROM (SELECT onto, count(*) AS n FROM u GROUP BY onto)
+  UNION ALL SELECT onto, 'graph:same_subject_multiple_predicates' FROM t GROUP BY onto, s HAVING count(DISTINCT p) > 1)
+""")
+def structural_features(spark, d):
+    return T.structural_features(_event_triples(spark, d))
+
+
+@query("""
+WITH f AS (SELECT DISTINCT l_orderkey AS k, 'mode' || l_linenumber AS feature FROM lineitem UNION SELECT DISTINCT l_orderkey, 'flag' || l_returnflag FROM lineitem),
+y AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label FROM orders),
+c AS (SELECT feature, count(*) AS df, sum(label) AS p, sum(1 - label) AS q FROM f JOIN y USING (k) GROUP BY feature),
+t AS (SELECT sum(label) AS pos, sum(1 - label) AS neg FROM y)
+SELECT feature, df, round(p / pos, 9) AS pos_rate, round(q / neg, 9) AS neg_rate, round(abs(p / pos - q / neg), 9) AS score FROM c, t ORDER BY round(abs(p / pos - q / neg), 12) DESC, df DESC, feature LIMIT 5
+""")
+def supervised_vocabulary(spark, d):
+    """A report of the five features that tell most."""
+    l = table(spark, d, "lineitem")
+    f = l.select(F.col("l_orderkey").alias("k"), F.explode(F.array(F.concat(F.lit("mode"), "l_linenumber"), F.concat(F.lit("flag"), "l_returnflag"))).alias("feature"))
+    y = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("label"))
+    return T.supervised_vocabulary(f, y, "k", 5).select("feature", "df", *(F.round(c, 9).alias(c) for c in ("pos_rate", "neg_rate", "score")))
+
+
+@query("SELECT s AS value, count(q) AS n FROM (SELECT unnest(range(0, 51)) AS s) LEFT JOIN (SELECT l_quantity::INT AS q FROM lineitem) ON q = s GROUP BY s")
+def dense_histogram(spark, d):
+    return T.dense_histogram(table(spark, d, "lineitem"), "l_quantity")
+
+
+@query("""
+SELECT 'n_chars' AS value, count(n_chars) AS n, min(n_chars)::DOUBLE AS least, max(n_chars)::DOUBLE AS most, median(n_chars) AS median, round(avg(n_chars), 6) AS mean, round(stddev_pop(n_chars), 6) AS sd FROM documents
+""")
+def summary_stats(spark, d):
+    return T.summary(table(spark, d, "documents"), ["n_chars"]).withColumns({"mean": F.round("mean", 6), "sd": F.round("sd", 6)})
+
+
+_LABEL = """CASE WHEN lower(trim(consistency)) IN ('inconsistent', '0', 'false', 'unsat', 'no') THEN 'inconsistent' WHEN lower(trim(consistency)) IN ('consistent', '1', 'true', 'sat', 'yes') THEN 'consistent' ELSE lower(trim(consistency)) END"""
+
+
+@query(f"""
+WITH p AS (SELECT regexp_extract(file_name, '^(.*?)(?:_Department|_module|_|$)', 1) AS onto, {_LABEL} AS label FROM predictions)
+SELECT onto, CASE WHEN bool_or(label = 'inconsistent') THEN 'inconsistent' ELSE 'consistent' END AS label, count(*) AS modules, count(*) FILTER (label = 'inconsistent') AS inconsistent,
+  printf('%.1f%%', 100.0 * count(*) FILTER (label = 'inconsistent') / count(*)) AS share FROM p WHERE onto IS NOT NULL AND label IS NOT NULL GROUP BY onto
+""")
+def votes(spark, d):
+    return O.module_votes(table(spark, d, "predictions"))
+
+
+@query()
+def body_predicates(spark, d):
+    """Predicates of all bodies, in whatever notation."""
+    t = T.parse_bodies(table(spark, d, "train_data").select("body"))
+    return t.filter("triples is not null").select(F.explode("triples").alias("t")).groupBy(F.col("t.p").alias("p")).agg(F.count("*").alias("n"))
+
+
+@query()
+def module_axioms(spark, d):
+    """How many axioms of each kind every module states."""
+    t = T.parse_bodies(table(spark, d, "train_data").select("row_id", "body"))
+    rows = t.select(F.col("row_id").cast("string").alias("onto"), F.explode("triples").alias("t")).select("onto", "t.s", "t.p", "t.o")
+    return P.profile(P.axioms_from_triples(rows))
+
+
+@query("""
+WITH t AS (SELECT p_brand AS file, p_type AS tag, p_size > 25 AS identified FROM part), k AS (SELECT file, tag, bool_or(identified) AS i FROM t WHERE tag NOT LIKE 'S%' GROUP BY ALL)
+SELECT file, count(*) FILTER (i) AS classes, count(*) FILTER (NOT i) AS properties, count(*) AS combined FROM k GROUP BY file
+""")
+def entity_counts(spark, d):
+    p = table(spark, d, "part")
+    return T.entity_counts(p.select(F.col("p_brand").alias("file"), F.col("p_type").alias("tag"), (F.col("p_size") > 25).alias("identified")), p.filter("p_type not like 'S%'").select(F.col("p_type").alias("tag")))
+
+
+@query("""
+SELECT file_name, coalesce(lower(trim(injected_pattern)) NOT IN ('none'), false) AS strict, coalesce(lower(trim(injected_pattern)) NOT IN ('none', '', 'nan'), false) AS loose FROM train_data
+""")
+def injected_rows(spark, d):
+    p = F.col("injected_pattern")
+    return table(spark, d, "train_data").select("file_name", T.injected(p).alias("strict"), T.injected(p, False).alias("loose"))
