@@ -8,7 +8,8 @@ from collections import Counter
 
 import pytest
 
-from truthframe.llm.contents import canonical, contents, parse_body
+from truthframe.functions.bodies import parse_body
+from truthframe.llm.contents import canonical, contents
 from truthframe.llm.formatting import formatting_groups, formatting_members
 from truthframe.llm.splitting import split_body, split_oversized
 from truthframe.llm.terms import HELD, count_terms, marked_terms, term_frequencies

@@ -1,9 +1,4 @@
-"""Bodies as sets of triples: parsing, canonical values, integer identifiers.
-
-A body is a list of ``(subject, predicate, object)`` in one of several notations: a list or tuple literal with
-single or double quotes, JSON arrays, JSON objects with named fields, or any of these in curly quotes. It counts
-as broken unless the whole text reads as such a list; single triples of another length inside a readable list
-are dropped.
+"""Bodies as sets of triples: canonical values and integer identifiers.
 
 Every distinct entry of an Arrow batch is canonicalised once (dictionary encoding) and gets an integer
 identifier, the 64-bit hash of its canonical form, so that identifiers agree between tasks without a shared
@@ -12,8 +7,6 @@ dictionary. A triple's identifier is mixed from those of its entries.
 
 from __future__ import annotations
 
-import ast
-import json
 import re
 from collections.abc import Iterator
 
@@ -23,10 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Names of the three fields in notations that name them.
-FIELDS = {"s": 0, "subject": 0, "subj": 0, "p": 1, "predicate": 1, "pred": 1, "o": 2, "object": 2, "obj": 2}
+from truthframe.functions.bodies import parse_body
 
-_CURLY = str.maketrans("“”", '""')
 _NOT_CONTENT = re.compile("[^a-z0-9\x1f]+")
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
@@ -39,51 +30,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _S33)
 
 
-def _read(text: str):
-    try:
-        return json.loads(text, strict=False)
-    except ValueError:
-        pass
-    try:
-        return ast.literal_eval(text)
-    except (ValueError, SyntaxError, MemoryError, RecursionError):
-        return None
-
-
-def parse_body(body: str | None) -> list[str] | None:
-    """The entries of all triples in one flat list; None if the body is null, blank or broken."""
-    if body is None:
-        return None
-    text = body.strip(" \t\r\n")
-    if not text or text[0] not in "[(":
-        return None
-    found = None
-    curly = "“" in text
-    if not curly and '"' not in text and "\\" not in text and text[0] == "[":
-        # only single-quoted strings without escapes: the same list in JSON's quotes
-        try:
-            found = json.loads(text.replace("'", '"'), strict=False)
-        except ValueError:
-            found = None
-    if found is None:
-        found = _read(text)
-    if found is None and curly:
-        found = _read(text.translate(_CURLY))
-    if not isinstance(found, (list, tuple)):
-        return None
-    out: list[str] = []
-    for t in found:
-        if isinstance(t, dict):
-            named = {FIELDS.get(str(k).strip().lower()): v for k, v in t.items()}
-            if len(t) != 3 or named.keys() != {0, 1, 2}:
-                continue
-            t = (named[0], named[1], named[2])
-        elif not isinstance(t, (list, tuple)) or len(t) != 3:
-            continue
-        out += t
-    return [x if isinstance(x, str) else str(x) for x in out]
-
-
 def canonical(values: list[str]) -> list[str]:
     """Each value lower-cased and stripped of everything but a-z and 0-9."""
     joined = _NOT_CONTENT.sub("", "\x1f".join(values).lower())
