@@ -3,8 +3,8 @@
 Each distinct content gets ``TREES`` independent signatures of ``DEPTH`` minhashes. The signatures of a tree are
 sorted, so that contents sharing a prefix stand together, the longer the prefix the closer. A region is a run
 with a common prefix; its depth adapts to its density: at most ``REGION`` contents are compared with each other,
-a larger run is cut one minhash deeper, and its contents are also compared with the next ``NEIGHBOURS`` in order,
-those with the longest common prefixes. Contents at similarity s agree in the first d minhashes of a tree with
+a larger run is cut one minhash deeper, and of it only neighbours in order, those with the longest common prefixes,
+are compared. Contents at similarity s agree in the first d minhashes of a tree with
 probability s^d, so a pair at 0.8 is missed by all trees with probability 1e-14 at depth 1, 1e-9 at depth 2 and
 6e-7 at depth 3.
 
@@ -27,7 +27,7 @@ from truthframe.llm.contents import contents, distinct_contents, mix
 from truthframe.operators.components import connected_components
 from truthframe.session import materialize
 
-TREES, DEPTH, REGION, NEIGHBOURS = 20, 5, 24, 8
+TREES, DEPTH, REGION, NEIGHBOURS = 20, 5, 24, 4
 #: A region that grows beyond this number of rows within one task is worked off in parts.
 BUFFER = 200_000
 
@@ -76,13 +76,20 @@ def _forest(records: DataFrame) -> DataFrame:
     return records.select("cid", "n", "triples").mapInArrow(run, "sig binary, cid long, n int, parity long")
 
 
-def region_pairs(keys: np.ndarray, region: int = REGION, neighbours: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-    """Places of candidate pairs in sorted rows of keys (the tree, then its minhashes), every pair with at least one common minhash."""
+def region_pairs(keys: np.ndarray, region: int = REGION, neighbours: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of candidate pairs in sorted rows of keys (the tree, then its minhashes), and which of them are spokes.
+
+    All pairs of a region that is small enough; of a larger one, which is cut deeper, the rows that stand next to each
+    other and part there. Rows that share a whole signature in too great a number are paired with the next
+    ``neighbours`` rows, and as spokes with the first of them.
+    """
     m, width = keys.shape
+    nothing = np.zeros(0, np.int64)
+    if m < 2:
+        return nothing, nothing, nothing.astype(bool)
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
-    if m < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hub = spoke = nothing
     common = np.cumprod(keys[1:] == keys[:-1], axis=1).sum(axis=1)  # with the row before
     rows = np.arange(m)
     for depth in range(2, width + 1):
@@ -91,36 +98,39 @@ def region_pairs(keys: np.ndarray, region: int = REGION, neighbours: int = NEIGH
         starts[1:] = (np.diff(rows) != 1) | (common[rows[1:] - 1] < depth)
         run = np.cumsum(starts) - 1
         sizes = np.bincount(run)
-        last = depth == width
         small = sizes[run] <= region
         at, of = rows[small], run[small]
         for k in range(1, int(sizes[sizes <= region].max(initial=1))):
             same = of[k:] == of[:-k]
             left.append(at[:-k][same]), right.append(at[k:][same])
         at, of = rows[~small], run[~small]
-        for k in range(1, min(neighbours, len(at) - 1) + 1):
-            same = of[k:] == of[:-k]
-            left.append(at[:-k][same]), right.append(at[k:][same])
-        if last and len(at):  # the whole signature is shared: all against the run's first
+        if depth < width:
+            parting = at[:-1][(of[1:] == of[:-1]) & (common[at[1:] - 1] == depth)] if len(at) else nothing
+            left.append(parting), right.append(parting + 1)
+        else:
+            for k in range(1, min(neighbours, len(at) - 1) + 1):
+                same = of[k:] == of[:-k]
+                left.append(at[:-k][same]), right.append(at[k:][same])
             first = rows[np.nonzero(starts)[0]][of]
-            left.append(first[first != at]), right.append(at[first != at])
+            hub, spoke = first[first != at], at[first != at]
         rows = at
         if len(rows) < 2:
             break
-    return np.concatenate(left), np.concatenate(right)
+    count = sum(map(len, left))
+    return np.concatenate([*left, hub]), np.concatenate([*right, spoke]), np.arange(count + len(hub)) >= count
 
 
 def _candidates(forest: DataFrame, p: int, q: int) -> DataFrame:
-    """``(a, b)``: pairs of contents that a tree puts together and that may have the similarity p / q."""
+    """``(a, b, spoke)``: pairs of contents that a tree puts together and that may have the similarity p / q."""
 
     def pairs(keys: np.ndarray, cid: np.ndarray, n: np.ndarray, par: np.ndarray) -> pa.RecordBatch:
-        i, j = region_pairs(keys)
+        i, j, spoke = region_pairs(keys)
         ni, nj = n[i].astype(np.int64), n[j].astype(np.int64)
         must = -(-p * (ni + nj) // (p + q))  # triples that both must hold
         ok = (must <= np.minimum(ni, nj)) & (np.bitwise_count(par[i] ^ par[j]) <= ni + nj - 2 * must) & (cid[i] != cid[j])
         a, b = cid[i[ok]], cid[j[ok]]
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), spoke[ok]], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(both[:, 2] == 1)], names=["a", "b", "spoke"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, ...]] = []
@@ -151,47 +161,55 @@ def _candidates(forest: DataFrame, p: int, q: int) -> DataFrame:
             yield pairs(*(np.concatenate(c) for c in zip(*kept)))
 
     ordered = forest.repartitionByRange("sig").sortWithinPartitions("sig")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    return ordered.mapInArrow(run, "a long, b long, spoke boolean").groupBy("a", "b").agg(F.max("spoke").alias("spoke"))
 
 
-def near_links(records: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """``(a, b, shared)`` for pairs of distinct contents ``(cid, n, triples)`` at ``similarity`` or more."""
-    t = Fraction(similarity).limit_denominator(1000)
-    p, q = t.numerator, t.denominator
+def _verified(pairs: DataFrame, records: DataFrame, p: int, q: int) -> DataFrame:
+    """Those of the pairs ``(a, b)`` whose contents have the similarity p / q, by their triples."""
     one = records.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("triples").alias("ta"))
     two = records.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("triples").alias("tb"))
-    return (
-        _candidates(_forest(records), p, q)
-        .join(one, "a")
-        .join(two, "b")
-        .withColumn("shared", F.size(F.array_intersect("ta", "tb")))
-        .filter(F.col("shared") * q >= (F.col("na") + F.col("nb") - F.col("shared")) * p)
-        .select("a", "b", "shared")
-    )
+    shared = F.size(F.array_intersect("ta", "tb"))
+    both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "na", "nb", shared.alias("shared"))
+    return both.filter(F.col("shared") * q >= (F.col("na") + F.col("nb") - F.col("shared")) * p).select("a", "b")
+
+
+def near_components(records: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """``(node, component)`` of the distinct contents ``(cid, n, triples)`` that are linked, directly or by way of others.
+
+    Where very many contents are alike, the spokes to one of them are compared first. Other candidates within a group
+    that these already join can't change it and aren't compared any more, so a large group costs its size, not its square.
+    """
+    t = Fraction(similarity).limit_denominator(1000)
+    p, q = t.numerator, t.denominator
+    candidates = materialize(_candidates(_forest(records), p, q), "candidates")
+    links = None
+    rest = candidates.select("a", "b")
+    if candidates.filter("spoke").head(1):
+        links = materialize(_verified(candidates.filter("spoke"), records, p, q), "links")
+        joined = materialize(connected_components(links, "a", "b"), "joined")
+        of = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+        rest = candidates.filter("not spoke").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        rest = rest.filter(F.coalesce(F.col("of_a") != F.col("of_b"), F.lit(True)))
+    found = _verified(rest, records, p, q)
+    return connected_components(found if links is None else found.union(links), "a", "b")
 
 
 def near_groups(df: DataFrame, id_col: str = "row_id", body_col: str = "body", similarity: float = 0.8, least: int = 5) -> DataFrame:
-    """``(first_row_id, row_id, copies, links)``: one row for each row that has a content.
+    """``(first_row_id, row_id, copies)``: one row for each row that has a content.
 
     ``first_row_id`` is the smallest id of the row's group (contents linked at ``similarity`` or more, directly
-    or by way of others), ``copies`` the number of rows with the very same content and ``links`` the number of
-    other contents it is linked to. Rows without a content have no row; repeated rows come out once.
+    or by way of others) and ``copies`` the number of rows with the very same content. Rows without a content have
+    no row, nor have rows without an id; repeated rows come out once, but count as copies.
     """
     rows = materialize(contents(df, id_col, body_col, least).select("id", "cid", "n", "triples"), "contents")
     records = materialize(distinct_contents(rows), "distinct")
-    links = materialize(near_links(records, similarity).select("a", "b"), "links")
-    parts = connected_components(links, "a", "b")
-    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("cid")).agg(F.count("*").alias("links"))
+    parts = near_components(records, similarity)
     copies = rows.groupBy("cid").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
-    classes = (
-        copies.join(parts.withColumnRenamed("node", "cid"), "cid", "left")
-        .join(degree, "cid", "left")
-        .select("cid", "least", "copies", F.coalesce("component", "cid").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
-    )
+    classes = copies.join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "least", "copies", F.coalesce("component", "cid").alias("component"))
     first = classes.groupBy("component").agg(F.min("least").alias("first_row_id"))
     return (
         rows.select("id", "cid")
         .distinct()
-        .join(classes.join(first, "component").select("cid", "copies", "links", "first_row_id"), "cid")
-        .select("first_row_id", F.col("id").alias("row_id"), "copies", "links")
+        .join(classes.join(first, "component").select("cid", "copies", "first_row_id"), "cid")
+        .select("first_row_id", F.col("id").alias("row_id"), "copies")
     )
