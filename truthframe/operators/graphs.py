@@ -351,3 +351,22 @@ def goal_reached(on: DataFrame, goal: DataFrame) -> DataFrame:
     both = goal.select("world", "block", F.col("under").alias("wanted")).join(on, ["world", "block"], "left")
     return both.groupBy("world").agg(F.bool_and(F.coalesce(F.col("under") == F.col("wanted"), F.lit(False))).alias("reached"))
 
+
+
+def pairs_at_distance(edges: DataFrame, nodes: DataFrame, dist: int, most: int | None = None, seed: int = 0) -> DataFrame:
+    """``(src, dst)`` exactly so many steps apart; ``most`` takes that many in hash order, as a task sampler does."""
+    out = distances(edges, nodes, dist).filter(F.col("dist") == dist).select("src", "dst")
+    return out.orderBy(F.xxhash64("src", "dst", F.lit(seed)), "src", "dst").limit(most) if most is not None else out
+
+
+def mask_neighbours(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
+    """``(node, hop, name)``: nodes within k steps of the seeds under neutral names, numbered by hop and then by node."""
+    found, _ = k_hop(edges, seeds, k)
+    named = relabel(found.withColumn("key", F.struct("hop", "node")), "node", "key")
+    return named.select("node", "hop", F.concat(F.lit("concept"), F.col("new_id").cast("string")).alias("name"))
+
+
+def prediction_samples(edges: DataFrame, labels: DataFrame, k: int = 1) -> DataFrame:
+    """``(node, label, context)``: each labelled node with its sorted neighbours within k steps, for node-level tasks."""
+    near = distances(edges, labels.select("node"), k).filter("dist > 0").groupBy(F.col("src").alias("node")).agg(F.array_sort(F.collect_set("dst")).alias("context"))
+    return labels.join(near, "node", "left").withColumn("context", F.coalesce("context", F.array().cast(near.schema["context"].dataType)))

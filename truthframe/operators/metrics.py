@@ -214,3 +214,30 @@ def early_stop(values: Sequence[float], patience: int, higher_is_better: bool =
         return False
     best = max(values) if higher_is_better else min(values)
     return len(values) - 1 - values.index(best) >= patience
+
+
+def first_number(text: Column) -> Column:
+    """The first number that a text holds; null without any."""
+    found = F.regexp_extract(text, r"-?[0-9]+(?:\.[0-9]+)?", 0)
+    return F.when(found != "", found.cast("double"))
+
+
+def text_scores(df: DataFrame, answer: str, target: str) -> DataFrame:
+    """One row for answers given as text: the share that equal their target but for case and blanks, and the errors of the
+    numbers in them; answers without a number count as wrong and take no part in the errors."""
+    norm = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    a, t = first_number(F.col(answer)), first_number(F.col(target))
+    return df.agg(
+        F.avg(F.when(norm(F.col(answer)) == norm(F.col(target)), 1.0).otherwise(0.0)).alias("accuracy"), F.avg(F.abs(a - t)).alias("mae"), F.avg((a - t) * (a - t)).alias("mse"), F.count(a - t).alias("numbers")
+    )
+
+
+def label_average_precision(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """``average_precision`` of each label of a multi-label task (0 without a positive), rows of equal score counting together.
+
+    Scores are summed up first, so that a label's rows are ordered by distinct score only.
+    """
+    per = df.groupBy(*by, F.col(score).alias("s__")).agg(F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("p"))
+    w = Window.partitionBy(*by).orderBy(F.col("s__").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    part = F.col("p") * F.sum("p").over(w) / F.sum("n").over(w)
+    return per.withColumn("part", part).groupBy(*by).agg(F.when(F.sum("p") > 0, F.sum("part") / F.sum("p")).otherwise(0.0).alias("average_precision"))

@@ -310,7 +310,7 @@ def assign_clusters(concepts: DataFrame, heads: DataFrame, edges: DataFrame, str
     """``(onto, concept, head)``: neighbours of a head go to it; others to the head with the highest membership.
 
     Membership is 0.4 of the shared neighbours, 0.2 of a direct edge and 0.4 of the names' likeness; ``strict`` takes the
-    shared neighbours for none, as the first authors' code does.
+    shared neighbours for none.
     """
     near = edges.select("onto", F.col("src").alias("c"), F.col("dst").alias("m")).union(edges.select("onto", "dst", "src")).distinct()
     pairs = concepts.join(heads, "onto")  # heads are a few per ontology

@@ -56,7 +56,7 @@ PATTERNS: dict[str, list[Atom]] = {
     "OOD": [_atom("domain", None, "p", "c1"), _atom("fact", "i", "p", "j"), _atom("type", "i", None, "c2"), _dis("c1", "c2")],
     "OOR": [_atom("range", None, "p", "c1"), _atom("fact", "i", "p", "j"), _atom("type", "j", None, "c2"), _dis("c1", "c2")],
 }
-#: As the patterns' first authors' code reads the assertion: the object for a domain, the subject for a range.
+#: The assertion read at its other end: the object for a domain, the subject for a range.
 STRICT = {
     "OOD": [_atom("domain", None, "p", "c1"), _atom("fact", "i", "p", "j"), _atom("type", "j", None, "c2"), _dis("c1", "c2")],
     "OOR": [_atom("range", None, "p", "c1"), _atom("fact", "i", "p", "j"), _atom("type", "i", None, "c2"), _dis("c1", "c2")],

@@ -312,3 +312,40 @@ def summary(df: DataFrame, values: Sequence[str]) -> DataFrame:
         row = df.agg(F.lit(v).alias("value"), F.count(c).alias("n"), F.min(c).cast("double").alias("least"), F.max(c).cast("double").alias("most"), F.percentile(c, 0.5).alias("median"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("sd"))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def drop_annotations(triples: DataFrame, predicates: Sequence[str] = ("label", "comment", "note", "seealso", "isdefinedby"), namespace: str = "skos") -> DataFrame:
+    """Triples that annotate nothing: without annotation predicates and without terms of the annotation vocabulary's namespace."""
+    touches = F.lower(F.concat_ws(" ", "s", "p", "o")).rlike(rf"(^|[ /:#(]){namespace}[:/#]")
+    return triples.filter(~F.lower("p").isin(*predicates) & ~touches)
+
+
+def within_length(df: DataFrame, length: str = "tokenized_length", most: int = 4096) -> DataFrame:
+    """Rows of a known length of up to ``most``."""
+    return df.filter(F.col(length) <= most)
+
+
+def first_triples(triples: DataFrame, most: int, by: str = "onto") -> DataFrame:
+    """An ontology's first ``most`` triples by position."""
+    w = Window.partitionBy(by).orderBy("pos")
+    return triples.withColumn("nth__", F.row_number().over(w)).filter(F.col("nth__") <= most).drop("nth__")
+
+
+def order_triples(triples: DataFrame, by: str = "onto", how: str = "relation", seed: int = 0) -> DataFrame:
+    """``place`` of each triple in its ontology from 0: by relation, then subject and object, or in hash order (``how="random"``)."""
+    keys = ["p", "s", "o", "pos"] if how == "relation" else [F.md5(F.concat_ws(":", "s", "p", "o", F.lit(str(seed)))), "pos"]
+    return triples.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*keys)) - 1)
+
+
+def atom_ids(triples: DataFrame, order: Sequence[str] = ("onto", "pos")) -> DataFrame:
+    """``(s, p, o, atom)``: every distinct triple numbered from 1 by its first appearance over all ontologies."""
+    from truthframe.operators.fuzzy_logic import with_rank
+
+    first = triples.groupBy("s", "p", "o").agg(F.min(F.struct(*order)).alias("at"))
+    keyed = first.withColumn("key", F.struct("at", "s", "p", "o"))
+    return with_rank(keyed, "key", "atom").select("s", "p", "o", "atom")
+
+
+def activation_rates(bounds: DataFrame) -> DataFrame:
+    """``(feature, rate)``: the mean lower bound of each feature of ``feature_bounds``."""
+    return bounds.groupBy("feature").agg(F.avg("l").alias("rate"))

@@ -233,3 +233,23 @@ def block_depths(spark, d):
     n = F.col("n_nationkey")
     on = table(spark, d, "nation").select(F.lit(1).alias("world"), (n + 1).alias("block"), F.when(n >= 10, n - 9).otherwise(0).alias("under"))
     return G.block_depths(on).select("block", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+
+
+@query(_REACH + "SELECT src, dst FROM m WHERE dist = 2")
+def pairs_at_distance(spark, d):
+    return G.pairs_at_distance(_edges(spark, d), _nodes(spark, d), 2)
+
+
+@query(_REACH + "SELECT dst AS node, dist AS hop, 'concept' || row_number() OVER (ORDER BY dist, dst) - 1 AS name FROM m WHERE src = 3 AND dist <= 2")
+def mask_neighbours(spark, d):
+    return G.mask_neighbours(_edges(spark, d), _nodes(spark, d).filter("node = 3"), 2)
+
+
+@query(f"""
+SELECT n_nationkey AS node, n_regionkey AS label, coalesce(array_to_string(list_sort(list(DISTINCT e.dst) FILTER (e.dst <> n_nationkey)), ','), '') AS context
+FROM nation LEFT JOIN {_EDGES} e ON e.src = n_nationkey GROUP BY ALL
+""")
+def prediction_samples(spark, d):
+    labels = table(spark, d, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("label"))
+    out = G.prediction_samples(_edges(spark, d), labels)
+    return out.withColumn("context", F.array_join(F.transform("context", lambda x: x.cast("string")), ","))

@@ -260,3 +260,12 @@ def bpr_max(spark, d):
     best = rows.filter("label = 1").groupBy("l_orderkey").agg(F.max("score").alias("score"), F.lit(1).alias("label"))
     out = M.bpr_max_loss(best.unionByName(rows.filter("label = 0").select("l_orderkey", "score", "label")), "score", "label", ["l_orderkey"])
     return out.select("l_orderkey", F.round("loss", 6).alias("loss"))
+
+
+@query(f"""
+WITH g AS (SELECT l_linenumber, score, count(*) AS n, sum(label) AS p FROM {_SCORES} GROUP BY ALL),
+c AS (SELECT *, sum(p) OVER w AS cp, sum(n) OVER w AS cn FROM g WINDOW w AS (PARTITION BY l_linenumber ORDER BY score DESC))
+SELECT l_linenumber, round(sum(p * cp / cn) / sum(p), 6) AS average_precision FROM c GROUP BY l_linenumber
+""")
+def average_precision_by_label(spark, d):
+    return M.label_average_precision(_scores(spark, d), "score", "label", ["l_linenumber"]).withColumn("average_precision", F.round("average_precision", 6))

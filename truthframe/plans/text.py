@@ -208,3 +208,33 @@ SELECT file_name, coalesce(lower(trim(injected_pattern)) NOT IN ('none'), false)
 def injected_rows(spark, d):
     p = F.col("injected_pattern")
     return table(spark, d, "train_data").select("file_name", T.injected(p).alias("strict"), T.injected(p, False).alias("loose"))
+
+
+@query(f"SELECT s, p, o, row_number() OVER (ORDER BY min((onto, pos)), s, p, o) AS atom FROM {_TRIPLES} GROUP BY s, p, o")
+def atom_ids(spark, d):
+    return T.atom_ids(_event_triples(spark, d))
+
+
+@query(f"SELECT onto, pos, row_number() OVER (PARTITION BY onto ORDER BY p, s, o, pos) - 1 AS place FROM {_TRIPLES}")
+def order_triples(spark, d):
+    return T.order_triples(_event_triples(spark, d)).select("onto", "pos", "place")
+
+
+@query(f"""
+WITH f AS (SELECT DISTINCT onto, s AS feature FROM {_TRIPLES}), n AS (SELECT count(DISTINCT onto) AS n FROM {_TRIPLES})
+SELECT feature, round(0.75 * count(*) / n, 6) AS rate FROM f, n GROUP BY feature, n
+""")
+def feature_activation(spark, d):
+    t = _event_triples(spark, d)
+    seen = t.select("onto", F.col("s").alias("feature"))
+    return T.activation_rates(T.feature_bounds(t, seen.select("feature").distinct(), seen)).withColumn("rate", F.round("rate", 6))
+
+
+@query("""
+SELECT round(avg(CASE WHEN lower(trim(consistency)) = lower(trim(injected_pattern)) THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n FROM train_data
+""")
+def text_accuracy(spark, d):
+    from truthframe.operators import metrics as M
+
+    rows = table(spark, d, "train_data")
+    return M.text_scores(rows, "consistency", "injected_pattern").crossJoin(rows.agg(F.count("*").alias("n"))).select(F.round("accuracy", 6).alias("accuracy"), "n")
