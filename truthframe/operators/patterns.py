@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from truthframe.session import materialize
@@ -173,39 +173,39 @@ def missing_signals(axioms: DataFrame, pattern: str) -> DataFrame:
 
 
 def axioms_from_triples(triples: DataFrame, by: str = "onto") -> DataFrame:
-    """Axioms read from ``(onto, s, p, o)``; a conjunction in an object gives one axiom for each of its simple parts."""
-    p = F.lower("p")
-    named = r"^[A-Za-z0-9_:-]+$"
-    bare = F.trim(F.regexp_replace("o", r"^\((.*)\)$", "$1"))
-    nested = bare.rlike(r"^\S+ some \(\S+ and \S+\)$")
-    part = F.explode(F.when(nested, F.array(bare)).otherwise(F.split(F.regexp_replace(F.col("o"), r"[()]", ""), r"\s+and\s+")))
-    rows = triples.select(F.col(by).alias("onto"), "s", F.col("p").alias("rel"), p.alias("p"), F.when(p.isin("subclassof", "equivalentto"), F.col("o")).otherwise(F.col("o")).alias("o"))
-    simple = rows.filter(F.col("p").isin("subclassof", "equivalentto")).select("onto", "s", "p", part.alias("e"))
-    restricted = lambda word: rf"^(\S+) {word} (\S+)$"
-    none = F.lit(None).cast("string")
+    """Axioms read from ``(onto, s, p, o)``; a conjunction in an object gives one axiom for each of its simple parts.
 
-    def axiom(df, kind, a, prop, b, n=none):
-        return df.select("onto", F.lit(kind).alias("kind"), a.alias("a"), prop.alias("prop"), b.alias("b"), n.alias("n"))
-
-    e, s = F.col("e"), F.col("s")
-    take = lambda word, i: F.regexp_extract("e", restricted(word), i)
-    pair = r"^(\S+) some \((\S+) and (\S+)\)$"
-    out = [
-        axiom(simple.filter(e.rlike(named) & (F.col("p") == "subclassof")), "sub", s, none, e),
-        axiom(rows.filter((F.col("p") == "equivalentto") & F.col("o").rlike(named)), "eq", s, none, F.col("o")),
-        axiom(simple.filter(e.rlike(restricted("some"))), "some", s, take("some", 1), take("some", 2)),
-        axiom(simple.filter(e.rlike(restricted("only"))), "only", s, take("only", 1), take("only", 2)),
-        axiom(simple.filter(e.rlike(r"^\S+ max 1 ")), "max1", s, F.regexp_extract("e", r"^(\S+) max 1", 1), none),
-        axiom(simple.filter(e.rlike(pair)), "someand", s, F.regexp_extract("e", pair, 1), F.regexp_extract("e", pair, 2), F.regexp_extract("e", pair, 3)),
-        axiom(rows.filter("p = 'disjointwith'"), "dis", s, none, F.col("o")),
-        axiom(rows.filter("p = 'subpropertyof'"), "subprop", s, none, F.col("o")),
-        axiom(rows.filter("p = 'inverseof'"), "inverse", s, none, F.col("o")),
-        axiom(rows.filter("p = 'domain'"), "domain", none, s, F.col("o")),
-        axiom(rows.filter("p = 'range'"), "range", none, s, F.col("o")),
-        axiom(rows.filter("p in ('is', 'types')"), "type", s, none, F.col("o")),
-        axiom(rows.filter(~F.col("p").isin("is", "types", "label", "note", "trace", "comment", "domain", "range", "inverseof", "subpropertyof", "disjointwith", "subclassof", "equivalentto")), "fact", s, F.col("rel"), F.col("o")),
-    ]
-    result = out[0]
-    for df in out[1:]:
-        result = result.union(df)
-    return result.distinct()
+    One pass: every triple gives an array of axioms, which is exploded.
+    """
+    named, nested = r"^[A-Za-z0-9_:-]+$", r"^(\S+) some \((\S+) and (\S+)\)$"
+    none = F.lit(None).cast("string")
+    s, p, o = F.col("s"), F.lower("p"), F.col("o")
+
+    def axiom(kind: str, a: Column = none, prop: Column = none, b: Column = none, n: Column = none) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), a.alias("a"), prop.alias("prop"), b.alias("b"), n.alias("n"))
+
+    def part(e: Column) -> Column:
+        """What one part of a class expression says, null if it is of no known form."""
+        word = lambda w, i: F.regexp_extract(e, rf"^(\S+) {w} (\S+)$", i)
+        return (
+            F.when(e.rlike(named), F.when(p == "subclassof", axiom("sub", s, none, e)))
+            .when(e.rlike(nested), axiom("someand", s, F.regexp_extract(e, nested, 1), F.regexp_extract(e, nested, 2), F.regexp_extract(e, nested, 3)))
+            .when(e.rlike(r"^\S+ some \S+$"), axiom("some", s, word("some", 1), word("some", 2)))
+            .when(e.rlike(r"^\S+ only \S+$"), axiom("only", s, word("only", 1), word("only", 2)))
+            .when(e.rlike(r"^\S+ max 1 "), axiom("max1", s, F.regexp_extract(e, r"^(\S+) max 1 ", 1)))
+        )
+
+    whole = F.trim(F.regexp_replace(o, r"^\((.*)\)$", "$1"))
+    parts = F.when(whole.rlike(nested), F.array(whole)).otherwise(F.split(F.regexp_replace(o, r"[()]", ""), r"\s+and\s+"))
+    said = F.transform(parts, part)
+    ends = {"disjointwith": "dis", "subpropertyof": "subprop", "inverseof": "inverse", "is": "type", "types": "type"}
+    annotation = p.isin("label", "note", "trace", "comment")
+    single = F.when(annotation, F.lit(None))
+    for word, kind in ends.items():
+        single = single.when(p == word, axiom(kind, s, none, o))
+    for word in ("domain", "range"):
+        single = single.when(p == word, axiom(word, none, s, o))
+    single = F.array(single.otherwise(axiom("fact", s, F.col("p"), o)))
+    both = F.when((p == "equivalentto") & o.rlike(named), F.array(axiom("eq", s, none, o))).when(p.isin("subclassof", "equivalentto"), said).otherwise(single)
+    rows = triples.select(F.col(by).alias("onto"), F.explode(F.filter(both, lambda x: x.isNotNull())).alias("x"))
+    return rows.select("onto", "x.*").distinct()
