@@ -32,8 +32,10 @@ LENGTH, SEED = 200, 100
 GAP = 0.1
 #: Bits of the filter that tells which seeds are shared; fuller filters let more through, never less.
 FILTER_BITS = 1 << 26
-#: Characters worked on at once, unless a single text is longer.
-SLAB = 1 << 20
+#: Characters worked on at once, unless a single text is longer: few enough for their hashes to stay in a core's cache.
+SLAB = 1 << 16
+#: Windows handed on at once.
+BATCH = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -257,7 +259,7 @@ def _windows(regions: DataFrame, length: int) -> DataFrame:
                         change[z] -= 1
                 at = np.nonzero(np.cumsum(change[:-1]) > 0)[0]
                 hashes.append(h[at]), docs.append(np.full(len(at), doc)), places.append(at.astype(np.int32))
-                if sum(map(len, hashes)) > SLAB:
+                if sum(map(len, hashes)) > BATCH:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in ([x.view(np.int64) for x in hashes], docs, places)], names=["window", "doc", "place"])
                     hashes, docs, places = [], [], []
             if hashes:
