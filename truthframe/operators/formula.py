@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from truthframe.functions import bounds as B
@@ -270,8 +270,11 @@ class Theory:
         old = rel.df.select(*rel.keys, F.col("l").alias("ol"), F.col("u").alias("ou"))
         both = then.df.join(old, rel.keys, "left") if rel.keys else then.df.crossJoin(old)
         moved = F.abs(F.col("l") - F.coalesce("ol", F.lit(low))) + F.abs(F.col("u") - F.coalesce("ou", F.lit(high)))
-        out = materialize(both.select(*rel.keys, "l", "u", moved.alias("moved")), "relation")
-        change, rows = out.agg(F.coalesce(F.sum("moved"), F.lit(0.0)), F.count("*")).first()
+        # the change is summed up while the relation is written
+        seen = Observation()
+        counted = both.select(*rel.keys, "l", "u", moved.alias("moved")).observe(seen, F.coalesce(F.sum("moved"), F.lit(0.0)).alias("change"), F.count("*").alias("rows"))
+        out = materialize(counted, "relation")
+        change, rows = seen.get["change"], seen.get["rows"]
         if change or rows != getattr(rel, "_rows", None):  # a new grounding may make others new, whatever its bounds
             self._version[self._name(f)] = self._version.get(self._name(f), 0) + 1
         drop_written(getattr(rel, "_table", None))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from truthframe.operators import graphs as G
 from truthframe.operators.components import connected_components as components
+from truthframe.operators.formula import And, Implies, Predicate, Theory, variables
 from truthframe.operators.relalg import compose as compose_relations
 from truthframe.plans.registry import query
 from truthframe.session import table
@@ -253,3 +254,19 @@ def prediction_samples(spark, d):
     labels = table(spark, d, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("label"))
     out = G.prediction_samples(_edges(spark, d), labels)
     return out.withColumn("context", F.array_join(F.transform("context", lambda x: x.cast("string")), ","))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT r_regionkey AS x, r_regionkey // 2 AS y FROM region), r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT x::VARCHAR AS x, y::VARCHAR AS y FROM r
+""")
+def rule_fixpoint(spark, d):
+    """What two rules prove: an edge is a path, and a path followed by an edge is a path."""
+    x, y, z = variables("x", "y", "z")
+    edge, path = Predicate("edge", 2), Predicate("path", 2)
+    theory = Theory(spark, natural=True)
+    theory.add(Implies(edge(x, y), path(x, y)), Implies(And(path(x, y), edge(y, z)), path(x, z)), world="AXIOM")
+    k = F.col("r_regionkey")
+    theory.add_data({edge: table(spark, d, "region").select(k.cast("string").alias("g0"), F.floor(k / 2).cast("string").alias("g1"), F.lit(1.0).alias("l"), F.lit(1.0).alias("u"))})
+    theory.infer(max_steps=30)
+    return theory.relation(path).true_groundings().toDF("x", "y")
