@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from truthframe.llm.tokens import VOCABULARY, pieces
 from truthframe.session import materialize
 
-CAPACITY, SALTS = 1024, 256
+CAPACITY, SALTS = 1024, 64
 
 Pattern = tuple[tuple[int, int], ...]
 
