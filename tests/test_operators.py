@@ -54,6 +54,9 @@ def test_broadcast_connective_and_diagonal(spark):
 def test_with_rank_is_gapless(spark):
     df = spark.createDataFrame([(i * 37 % 101,) for i in range(101)], "v long").repartition(5)
     assert all(r.v + 1 == r.n for r in L.with_rank(df, "v", "n").collect())
+    many = spark.range(400_000).select((F.col("id") * 7919 % 400_009).alias("v"), F.lit("x").alias("w"))
+    got = L.with_rank(many, "v", "n").agg(F.countDistinct("n").alias("d"), F.max("n").alias("m"), F.min("n").alias("l")).first()
+    assert (got.d, got.m, got.l) == (400_000, 400_000, 1)
 
 
 def test_softmax_and_mlp(spark):
@@ -168,6 +171,8 @@ def test_threshold_and_auc(spark):
     flat = spark.createDataFrame([(0.3, 0), (0.3, 1)], "s double, y int")
     assert one(M.best_threshold(flat, "s", "y", robust=True)).threshold == pytest.approx(0.3)
     assert one(M.auc(flat.filter("y = 1"), "s", "y")).auc is None
+    many = spark.range(200_000).select((F.col("id") / 200_000).alias("s"), (F.col("id") % 2).cast("int").alias("y"))
+    assert one(M.auc(many, "s", "y")).auc == pytest.approx(0.5, abs=1e-5)
     c = one(M.confusion(flat.limit(0), "s", "y"))
     assert (c.tp, c.f1) == (0, 0.0)
     assert M.early_stop([1, 3, 2, 2], 2) and not M.early_stop([1, 2, 3], 2)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from truthframe.functions import fuzzy
+from truthframe.session import materialize
 
 
 class Fuzzy:
@@ -61,8 +62,11 @@ def diagonal(*variables: DataFrame) -> DataFrame:
 
 
 def with_rank(df: DataFrame, order: str, name: str) -> DataFrame:
-    """A gapless rank from 1 in the order of a column: positions within range partitions, shifted by the sizes of those before."""
-    placed = df.repartitionByRange(order).withColumn("part__", F.spark_partition_id())
+    """A gapless rank from 1 in the order of a column: positions within range partitions, shifted by the sizes of those before.
+
+    The partitions are written out, as ranges are sampled anew whenever they are computed.
+    """
+    placed = materialize(df.repartitionByRange(order).withColumn("part__", F.spark_partition_id()), "ranges")
     inside = placed.withColumn("own__", F.row_number().over(Window.partitionBy("part__").orderBy(order)))
     sizes = inside.groupBy("part__").agg(F.count("*").alias("size__"))  # a row a partition
     shift = sizes.select("part__", F.coalesce(F.sum("size__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shift__"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from truthframe.session import materialize
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(0.0)
@@ -31,7 +33,8 @@ def _cumulated(df: DataFrame, score: str, label: str) -> DataFrame:
     sums of the ranges below.
     """
     per = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("p"))
-    placed = per.repartitionByRange("s").withColumn("part", F.spark_partition_id())
+    # written out, as ranges are sampled anew whenever they are computed
+    placed = materialize(per.repartitionByRange("s").withColumn("part", F.spark_partition_id()), "ranges")
     inside = Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     sums = placed.groupBy("part").agg(F.sum("n").alias("pn"), F.sum("p").alias("pp"), F.max("s").alias("top"))  # a row a partition
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

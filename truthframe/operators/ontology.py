@@ -111,8 +111,7 @@ def tbox(triples: DataFrame, kinds: Sequence[str] = ("Class", "ObjectProperty",
 
 def local_part(triples: DataFrame, prefixes: DataFrame, excluded: Sequence[str] = ()) -> DataFrame:
     """``(part, s, p, o)``: triples whose subject begins with a part's prefix ``(part, prefix)`` and whose object is of no excluded kind."""
-    # the prefix table is one row a department of the ontology at hand
-    rows = triples.join(F.broadcast(prefixes), F.col("s").startswith(F.col("prefix")))
+    rows = triples.join(prefixes, F.col("s").startswith(F.col("prefix")))
     for x in excluded:
         rows = rows.filter(~F.col("o").startswith(x))
     return rows.select("part", "s", "p", "o")

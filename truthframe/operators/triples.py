@@ -230,7 +230,7 @@ def polarity(scored: DataFrame) -> DataFrame:
 
 def feature_bounds(rows: DataFrame, vocabulary_df: DataFrame, features: DataFrame, by: str = "onto") -> DataFrame:
     """``(onto, feature, l, u)`` for every row and feature of the vocabulary: (0.75, 1) where present, (0, 0) where absent."""
-    every = rows.select(by).distinct().crossJoin(F.broadcast(vocabulary_df.select("feature")))
+    every = rows.select(by).distinct().crossJoin(vocabulary_df.select("feature"))
     here = features.select(by, "feature").distinct().withColumn("here", F.lit(True))
     out = every.join(here, [by, "feature"], "left")
     return out.select(by, "feature", F.when(F.col("here"), 0.75).otherwise(0.0).alias("l"), F.when(F.col("here"), 1.0).otherwise(0.0).alias("u"))
@@ -254,7 +254,7 @@ def encode_triples(triples: DataFrame, predicates: DataFrame, by: str = "onto",
     op = X.first_restriction(F.col("o"))
     t = triples.withColumn("token", F.when(op == "none", F.col("p")).otherwise(F.concat("p", F.lit("::"), op)))
     t = t.join(ids.select(by, F.col("entity").alias("s"), F.col("local_id").alias("s_id")), [by, "s"]).join(ids.select(by, F.col("entity").alias("o"), F.col("local_id").alias("o_id")), [by, "o"])
-    return t.join(F.broadcast(predicates.select("token", "id")), "token", "left").select(by, "pos", "s_id", F.coalesce("id", F.lit(1)).alias("p_id"), "o_id")
+    return t.join(predicates.select("token", "id"), "token", "left").select(by, "pos", "s_id", F.coalesce("id", F.lit(1)).alias("p_id"), "o_id")
 
 
 def multi_hot(encoded: DataFrame, entities: int, relations: int, by: str = "onto") -> DataFrame:
