@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from truthframe.llm.near import near_groups, parity, region_pairs
+from truthframe.llm.near import exact_pairs, near_groups, parity, region_pairs
 from truthframe.llm.overlap import CHUNKS, chunk_digests, cross_overlaps, level_of
 from truthframe.llm.related import anneal, pattern_codes, related_groups, related_splits, split_report, university_numbers
 
@@ -67,6 +67,24 @@ def test_a_dense_region_is_linked_without_all_pairs(spark):
     assert len(got) == 300 and {r.first_row_id for r in got} == {0}
 
 
+def test_isolated_links_in_a_large_family_are_found(spark):
+    rng = random.Random(7)
+    core = [(f"E{i}", "is", "C") for i in range(15)]
+    rows = []
+    for i in range(10_000):  # each shares 16 of 20 triples with one other, 15 of 21 with the rest
+        rows.append((i, body([*core, (f"P{i // 2}", "is", "C"), *((f"N{i}", "is", f"D{k}") for k in range(2))], rng)))
+    got = near_groups(spark.createDataFrame(rows, "row_id long, body string").repartition(8)).collect()
+    assert {(r.first_row_id, r.row_id) for r in got} == {(i // 2 * 2, i) for i in range(10_000)}
+
+
+def test_exact_pairs_miss_none(spark):
+    sets = [sorted({hash(t) for t in s}) for s in corpus(8)]
+    rows = [(i, len(s), i, s) for i, s in enumerate(sets)]
+    got = exact_pairs(spark.createDataFrame(rows, "cid long, n int, of long, triples array<long>"), 4, 5).collect()
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if similar(sets[i], sets[j])}
+    assert want and want <= {(r.a, r.b) for r in got}
+
+
 def test_region_pairs_of_small_runs_are_all_pairs():
     keys = np.array([[0, 1, 1], [0, 1, 2], [0, 1, 3], [0, 2, 1], [1, 2, 1]])
     i, j, spoke = region_pairs(keys, region=3)
