@@ -125,6 +125,19 @@ def test_family(spark):
     assert near.count() == 9 and near.filter("abs(src - dst) != 1").count() == 0
 
 
+def test_long_chains_have_no_cycle(spark):
+    e = spark.range(450).selectExpr("id as src", "id + 1 as dst")
+    assert G.on_cycle(e).count() == 0
+    loop = spark.createDataFrame([(5, 3), (9, 9)], "src long, dst long")
+    got = {(r.src, r.dst) for r in G.on_cycle(e.union(loop)).collect()}
+    assert got == {(3, 4), (4, 5), (5, 3), (5, 6), (6, 7), (7, 8), (8, 9), (9, 9)}
+
+
+def test_closure_follows_long_chains(spark):
+    e = spark.range(104).coalesce(1).selectExpr("id as src", "id + 1 as dst")
+    assert G.closure(e, spark.range(1)).count() == 105
+
+
 def test_walks(spark):
     e = spark.createDataFrame([("a", "p", "b"), ("b", "q", "c"), ("b", "r", "a")], "s string, p string, o string")
     w = G.random_walks(e, spark.createDataFrame([("a",), ("c",)], "n string"), 2)

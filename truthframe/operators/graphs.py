@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import defaultdict, deque
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,12 +63,14 @@ def k_connected(edges: DataFrame, nodes: DataFrame, k: int, exclude_self: bool =
     return out.filter("src != dst") if exclude_self else out
 
 
-def closure(edges: DataFrame, seeds: DataFrame, rounds: int = 100) -> DataFrame:
-    """``(node)``: the seeds and all that edges lead to from them; seeds stay where they are found, frontier by frontier."""
+def closure(edges: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
+    """``(node)``: the seeds and all that edges lead to from them, within ``rounds`` steps if given; seeds stay where they are found, frontier by frontier."""
     found = materialize(seeds.select(F.col(seeds.columns[0]).alias("node")).distinct(), "closure")
     frontier = found
     e = edges.select(F.col("src").alias("node"), "dst")
-    for _ in range(rounds):
+    step = 0
+    while rounds is None or step < rounds:
+        step += 1
         fresh = materialize(frontier.join(e, "node").select(F.col("dst").alias("node")).distinct().join(found, "node", "left_anti"), "frontier")
         if not fresh.head(1):
             break
@@ -74,19 +78,50 @@ def closure(edges: DataFrame, seeds: DataFrame, rounds: int = 100) -> DataFrame:
     return found
 
 
-def on_cycle(edges: DataFrame, rounds: int = 200) -> DataFrame:
-    """Edges left when nodes without an incoming or an outgoing edge are taken away again and again: none if there is no cycle."""
-    now = materialize(edges.select("src", "dst").distinct(), "edges")
+#: Edges that one task takes to finish the peeling of ``on_cycle`` by itself.
+PEELED = 200_000
+
+
+def _peel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges left of all ``(a, b, src, dst)`` in one task, node after node."""
+    rows = list(batches)
+    if not rows:
+        return
+    edges = pa.Table.from_batches(rows)
+    a, b = edges.column("a").to_pylist(), edges.column("b").to_pylist()
+    out, into, left = defaultdict(list), defaultdict(list), [True] * len(a)
+    for i, (x, y) in enumerate(zip(a, b)):
+        out[x].append(i), into[y].append(i)
+    leaving, coming = {x: len(i) for x, i in out.items()}, {y: len(i) for y, i in into.items()}
+    free = deque(x for x in {*a, *b} if not leaving.get(x) or not coming.get(x))
+    while free:
+        x = free.popleft()
+        for i in (*out[x], *into[x]):
+            if not left[i]:
+                continue
+            left[i] = False
+            for node, count in ((a[i], leaving), (b[i], coming)):
+                count[node] -= 1
+                if not count[node] and node != x:
+                    free.append(node)
+    yield from edges.select(["src", "dst"]).filter(pa.array(left, pa.bool_())).to_batches()
+
+
+def on_cycle(edges: DataFrame) -> DataFrame:
+    """Edges left when nodes without an incoming or an outgoing edge are taken away again and again: none if there is no cycle.
+
+    A round takes only the ends of long paths away; once no more than ``PEELED`` edges are left, one task does the rest.
+    """
+    now = materialize(edges.select("src", "dst").filter("src is not null and dst is not null").distinct(), "edges")
     size = now.count()
-    for _ in range(rounds):
-        if not size:
-            break
+    while size > PEELED:
         then = materialize(now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "edges")
         drop_written(now)
         now, before, size = then, size, then.count()
         if size == before:
-            break
-    return now
+            return now
+    key = lambda c: F.to_json(F.struct(F.col(c).alias("x")))
+    return now.select(key("src").alias("a"), key("dst").alias("b"), "src", "dst").repartition(1).mapInArrow(_peel, now.schema)
 
 
 def chain_of_two(edges: DataFrame) -> DataFrame:
@@ -334,11 +369,13 @@ def move_block(on: DataFrame, moves: DataFrame) -> DataFrame:
     return on.join(onto.distinct(), ["world", "block"], "left").select("world", "block", F.coalesce("target", "under").alias("under"))
 
 
-def block_depths(on: DataFrame, limit: int = 100) -> DataFrame:
-    """``(world, block, depth, path)``: steps above the ground and the blocks below, from the ground up."""
+def block_depths(on: DataFrame, limit: int | None = None) -> DataFrame:
+    """``(world, block, depth, path)``: steps above the ground and the blocks below, from the ground up, to depth ``limit`` if given."""
     level = on.filter("under = 0").select("world", "block", F.lit(1).alias("depth"), F.array("block").alias("path"))
     out = level
-    for depth in range(2, limit + 1):
+    depth = 1
+    while limit is None or depth < limit:
+        depth += 1
         level = materialize(on.join(level.select("world", F.col("block").alias("under"), "path"), ["world", "under"]).select("world", "block", F.lit(depth).alias("depth"), F.concat("path", F.array("block")).alias("path")), "levels")
         if not level.head(1):
             break

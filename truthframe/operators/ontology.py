@@ -117,7 +117,7 @@ def local_part(triples: DataFrame, prefixes: DataFrame, excluded: Sequence[str]
     return rows.select("part", "s", "p", "o")
 
 
-def referenced_tbox(schema: DataFrame, seeds: DataFrame, rounds: int = 50) -> DataFrame:
+def referenced_tbox(schema: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
     """Schema triples reachable from the seed terms: a triple belongs once its subject does, and brings its object."""
     from truthframe.operators.graphs import closure
 
@@ -251,7 +251,7 @@ def _local_udf(bottom: bool, ignore_assertions: bool):
     return local
 
 
-def extract_module(axioms: DataFrame, seeds: DataFrame, bottom: bool = True, ignore_assertions: bool = False, rounds: int = 60) -> DataFrame:
+def extract_module(axioms: DataFrame, seeds: DataFrame, bottom: bool = True, ignore_assertions: bool = False) -> DataFrame:
     """``(onto, axiom)``: for each ontology the axioms that aren't local to the growing signature, from the seeds ``(onto, term)``.
 
     An axiom's locality depends only on which of its own terms the signature has. Per round these are joined to the
@@ -261,7 +261,7 @@ def extract_module(axioms: DataFrame, seeds: DataFrame, bottom: bool = True, ign
     rest = materialize(axioms.select("onto", "axiom").distinct().withColumn("terms", axiom_terms("axiom")).withColumn("id", F.xxhash64("onto", "axiom")), "axioms")
     signature = materialize(seeds.select("onto", "term").distinct(), "signature")
     module = None
-    for _ in range(rounds):
+    while True:
         used = rest.select("onto", "id", F.explode("terms").alias("term")).join(signature, ["onto", "term"]).groupBy("onto", "id").agg(F.collect_set("term").alias("known"))  # terms of one axiom
         judged = materialize(rest.join(used, ["onto", "id"], "left").withColumn("local", local("axiom", "known")).select("onto", "axiom", "terms", "id", "local"), "judged")
         taken = judged.filter("not local").select("onto", "axiom", "terms")
