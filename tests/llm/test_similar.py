@@ -121,6 +121,23 @@ def test_cross_overlaps_equal_brute_force(spark):
     assert cross_overlaps(train.limit(0), other).count() == 0 and cross_overlaps(train, other.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [5_000, 20_000])
+def test_overlaps_of_long_records_equal_brute_force(spark, n):
+    rng = random.Random(n)
+    ours, theirs = [], []
+    for family in range(4):
+        base = [(f"E{family}_{i}", "is", "C") for i in range(n)]
+        for k, edits in enumerate((n // 9, n // 9 + 2, n // 20)):  # substituted triples: 0.8, just below, 0.9
+            gone = set(rng.sample(range(n), edits))
+            theirs.append([*(t for i, t in enumerate(base) if i not in gone), *((f"X{family}_{k}_{i}", "is", "D") for i in range(edits))])
+        ours.append(base)
+    schema = "row_id long, body string, split_name string"
+    train = spark.createDataFrame([(i, body(s, rng), None) for i, s in enumerate(ours)], schema).repartition(4)
+    other = spark.createDataFrame([(100 + i, body(s, rng), "eval") for i, s in enumerate(theirs)], schema).repartition(4)
+    want = {(i, 100 + j) for i, a in enumerate(ours) for j, b in enumerate(theirs) if similar(a, b)}
+    assert len(want) == 8 and {(r.train_row_id, r.row_id) for r in cross_overlaps(train, other).collect()} == want
+
+
 def test_chunks_follow_the_size():
     assert level_of(np.array([1, CHUNKS - 1, CHUNKS, 4 * CHUNKS - 1, 4 * CHUNKS])).tolist() == [0, 0, 1, 1, 2]
     tid = np.sort(np.random.default_rng(2).integers(0, 2**63, 400, dtype=np.uint64))

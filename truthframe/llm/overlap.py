@@ -2,12 +2,11 @@
 
 A normalised record is its triples' identifiers in ascending order. A rolling hash over a window of one triple
 cuts it: a triple whose hash ends in ``level`` zero bits closes a chunk, so level 0 cuts after every triple and
-level L makes chunks of 2^L triples on average; an edit alters only the chunk it falls into. Two records at the
-wanted similarity must share a chunk. With chunks of several triples that is only likely, the more so the more
-chunks there are, so the level follows the record's size: up to ``CHUNKS`` triples, records are cut at level 0,
-where the guarantee is exact, and beyond that into at least ``CHUNKS / 2`` chunks on average, where a pair fails
-to share one with a probability below 1e-9. The larger side gives out its chunks at every level that a partner
-of any admissible size could have.
+level L makes chunks of 2^L triples on average; an edit alters only the chunk it falls into. Two records at a
+similarity of 0.8 may differ in every ninth triple on both sides, so chunks of several triples needn't have one in
+common, however many there are. Records are therefore cut at level 0, whatever their size: there the number of
+chunks that must be shared is certain, ceil(0.8 k) of k. Coarser levels (``level_of``, ``chunk_digests``) are not
+used to find pairs.
 
 Not all shared chunks are joined: of a record with k chunks, of which s must be shared, only the k - s + 1 that
 the other side holds most rarely are looked up (any s shared ones must include one of them). Chunks that very
@@ -16,18 +15,16 @@ many records hold are so looked up only by records that have nothing rarer.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from truthframe.llm.contents import contents, distinct_contents, mix
 from truthframe.session import materialize
 
-#: Up to this number of triples each triple is a chunk; above four times as many, chunks double again.
+#: Up to this number of triples each triple is a chunk by ``level_of``; above four times as many, chunks double again.
 CHUNKS = 80
 TOP_LEVEL = 12
 
@@ -53,31 +50,9 @@ def chunk_digests(tid: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(np.add.reduceat(mix(tid + np.uint64(level)), starts)) + np.uint64(level), lengths.astype(np.int32)
 
 
-def _chunks(records: DataFrame, similarity: float, all_levels: bool) -> DataFrame:
-    """``(cid, n, k, digest, length)``: the chunks of ``(cid, n, triples)`` at its own level, or at all levels of possible partners."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cids, ns = b.column(0).to_numpy(), b.column(1).to_numpy()
-            lists = b.column(2)
-            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
-            low = level_of(np.floor(ns * similarity)) if all_levels else level_of(ns)
-            high = level_of(np.ceil(ns / similarity)) if all_levels else low
-            rows, ks, digests, lengths = [], [], [], []
-            for i in np.nonzero(high > 0)[0]:
-                for level in range(max(1, low[i]), high[i] + 1):
-                    d, n = chunk_digests(values[offsets[i] : offsets[i + 1]], level)
-                    rows.append(np.full(len(d), i)), ks.append(np.full(len(d), len(d))), digests.append(d), lengths.append(n)
-            plain = low == 0  # level 0 needs no cutting, all records at once
-            row = np.repeat(np.arange(len(ns)), np.where(plain, ns, 0))
-            rows.append(row), ks.append(ns[row]), digests.append(values[offsets[0] : offsets[-1]][np.repeat(plain, ns)]), lengths.append(np.ones(len(row), np.int32))
-            at = np.concatenate(rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cids[at]), pa.array(ns[at].astype(np.int32)), pa.array(np.concatenate(ks).astype(np.int32)), pa.array(np.concatenate(digests).view(np.int64)), pa.array(np.concatenate(lengths))],
-                names=["cid", "n", "k", "digest", "length"],
-            )
-
-    return records.select("cid", "n", "triples").mapInArrow(run, "cid long, n int, k int, digest long, length int")
+def _chunks(records: DataFrame) -> DataFrame:
+    """``(cid, n, digest)``: the chunks of ``(cid, n, triples)`` at level 0, which are its triples."""
+    return records.select("cid", "n", F.explode("triples").alias("digest"))
 
 
 def cross_overlaps(
@@ -97,16 +72,15 @@ def cross_overlaps(
     splits = other.select(F.col(id_col).cast("long").alias("id"), F.col(split_col).alias("split_name")).distinct()
     a, b = distinct_contents(theirs), materialize(distinct_contents(ours), "distinct")
 
-    postings = _chunks(b, float(t), True).select("digest", F.col("cid").alias("other"), F.col("n").alias("other_n"))
+    postings = _chunks(b).select("digest", F.col("cid").alias("other"), F.col("n").alias("other_n"))
     held = postings.groupBy("digest").agg(F.count("*").alias("held"))
-    # of k chunks at level 0, ceil(t * k) must be shared; above, a fifth surely is
-    must = F.when(F.col("n") < CHUNKS, F.expr(f"cast(ceil({p} * k / {q}) as int)")).otherwise(F.greatest(F.lit(1), F.expr("k div 5")))
+    must = F.expr(f"({p} * n + {q - 1}) div {q}")  # of n chunks
     rank = F.row_number().over(Window.partitionBy("cid").orderBy(F.coalesce("held", F.lit(0)), "digest"))
     looked_up = (
-        _chunks(a, float(t), False)
+        _chunks(a)
         .join(held, "digest", "left")
         .withColumn("rank", rank)
-        .filter((F.col("rank") <= F.col("k") - must + 1) & F.col("held").isNotNull())
+        .filter((F.col("rank") <= F.col("n") - must + 1) & F.col("held").isNotNull())
         .select("digest", "cid", "n")
     )
     fits = (F.col("other_n") * q >= F.col("n") * p) & (F.col("n") * q >= F.col("other_n") * p)
