@@ -150,6 +150,24 @@ def test_shared_spans_equal_brute_force(spark):
     assert empty.documents().count() == 0 and empty.characters().count() == 0 and empty.passages().count() == 0
 
 
+def test_passages_of_documents_chained_with_others(spark):
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    boilerplate = [text(30) for _ in range(12)]
+    rows = [(1, "".join(text(20) + b for b in boilerplate))]
+    for i, b in enumerate(boilerplate):  # a pair shares 42 characters, of which 30 are in the first document as well
+        run = text(6) + b + text(6)
+        rows += [(10 + 2 * i, text(50) + run + text(50)), (11 + 2 * i, text(70) + run + text(30))]
+    spans = SharedSpans(spark.createDataFrame(rows, "doc_id long, text string"), length=40)
+    assert {r.doc_id for r in spans.documents().collect()} == set(range(10, 34))
+    got = {(r.doc_id, r.partner_id): r for r in spans.passages().filter("end - start >= 40").collect()}
+    texts = dict(rows)
+    for i in range(12):
+        for a, b in ((10 + 2 * i, 11 + 2 * i), (11 + 2 * i, 10 + 2 * i)):
+            r = got[a, b]
+            assert r.longest >= 42 and texts[a][r.start : r.end] == texts[b][r.partner_start : r.partner_end]
+
+
 def test_a_full_filter_changes_nothing(spark):
     rng = random.Random(9)
     rows = [(i, "".join(rng.choice("ab c") for _ in range(150))) for i in range(40)]

@@ -9,7 +9,8 @@
    seeds less a cost for the gaps, found with a Fenwick tree. Every match is in exactly one chain.
 4. Align. Within the passages that chains span, widened by what a run may reach beyond its seed, every window of
    ``length`` characters is hashed and joined across all documents, not only the chain's partner. That gives
-   the exact runs, whichever partner the chain had.
+   the exact runs, whichever partner the chain had. Passages are the chains and, besides, those exact runs that no
+   chain with the same partner holds.
 
 Texts are compared as they stand, by code points and whole.
 """
@@ -282,6 +283,7 @@ class SharedSpans:
         held = _all_seeds(texts, length, self.k).groupBy("seed").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
         self.shared = materialize(held.filter("low < high"), "seeds")
         self.docs = materialize(_seeded(texts, self.shared, length, self.k, bits), "texts")
+        self.chained = self.occurring = None
 
     def matches(self) -> DataFrame:
         """``(doc, partner, x, y)``: where a document and its partner hold the same seed."""
@@ -295,7 +297,9 @@ class SharedSpans:
 
     def chains(self) -> DataFrame:
         """``(doc, partner, x0, x1, y0, y1, seeds, score)``: the passages that chains span in either text."""
-        return _chains(self.matches(), self.k)
+        if self.chained is None:
+            self.chained = materialize(_chains(self.matches(), self.k), "chains")
+        return self.chained
 
     def _occurrences(self) -> DataFrame:
         reach = self.length - self.k
@@ -305,6 +309,21 @@ class SharedSpans:
         held = windows.groupBy("window").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high")
         return windows.join(held, "window")
 
+    def exact_runs(self) -> DataFrame:
+        """``(doc, partner, x0, x1, y0, y1)``: consecutive windows that a document shares with one holder on one diagonal.
+
+        The holder of a window is the document with the smallest id (for that one, with the largest), at its first place there.
+        """
+        if self.occurring is None:
+            self.occurring = materialize(self._occurrences(), "windows")
+        at = self.occurring
+        mine = at.withColumn("partner", F.when(F.col("doc") == F.col("low"), F.col("high")).otherwise(F.col("low")))
+        theirs = at.filter("doc = low or doc = high").groupBy("window", F.col("doc").alias("partner")).agg(F.min("place").alias("y"))
+        places = mine.join(theirs, ["window", "partner"]).select("doc", "partner", "place", (F.col("place") - F.col("y")).alias("diagonal")).distinct()
+        nth = F.row_number().over(Window.partitionBy("doc", "partner", "diagonal").orderBy("place"))  # within one text
+        runs = places.withColumn("run", F.col("place") - nth).groupBy("doc", "partner", "diagonal", "run").agg(F.min("place").alias("x0"), (F.max("place") + self.length).alias("x1"))
+        return runs.select("doc", "partner", "x0", "x1", (F.col("x0") - F.col("diagonal")).alias("y0"), (F.col("x1") - F.col("diagonal")).alias("y1"))
+
     def documents(self) -> DataFrame:
         """``(doc_id)`` of the documents with a run that stands in another."""
         return self._occurrences().select(F.col("doc").alias("doc_id")).distinct()
@@ -320,14 +339,26 @@ class SharedSpans:
         )
 
     def passages(self) -> DataFrame:
-        """``(doc_id, partner_id, start, end, partner_start, partner_end, matched, longest, score)``: chains aligned character by character.
+        """``(doc_id, partner_id, start, end, partner_start, partner_end, matched, longest, score)``: chains aligned character by character, and exact runs.
 
         ``matched`` counts the equal characters of the alignment and ``longest`` its longest exact run. Seeds are
         extended to both sides as far as the texts agree; what lies between seeds on one diagonal is compared in
         place. A partner's text joins each of its chains; a partner that very many share is split by adaptive execution.
+        A chain has one partner per seed, which may share less than ``length``; so each exact run comes out too, with a
+        holder of it and its length as ``score``, unless a chain's passage with that holder contains it.
         """
+        chained = self.chains().select("doc", "partner", "x0", "x1", "y0", "y1", "score")
+        exact = self.exact_runs().withColumn("score", F.lit(None).cast("double"))
+        aligned = materialize(self._aligned(chained.unionByName(exact)), "passages")
+        fuzzy = aligned.filter("score is not null")
+        runs = aligned.filter("score is null").distinct().alias("r")
+        within = "r.doc_id = c.doc_id and r.partner_id = c.partner_id and c.start <= r.start and r.end <= c.end and c.partner_start <= r.partner_start and r.partner_end <= c.partner_end"
+        alone = runs.join(fuzzy.alias("c"), F.expr(within), "left_anti")
+        return fuzzy.unionByName(alone.withColumn("score", F.col("matched").cast("double")))
+
+    def _aligned(self, spans: DataFrame) -> DataFrame:
         theirs = self.docs.select(F.col("doc").alias("partner"), F.col("text").alias("other"))
-        both = self.chains().join(self.docs.select("doc", "text"), "doc").join(theirs, "partner")
+        both = spans.join(self.docs.select("doc", "text"), "doc").join(theirs, "partner")
         names = ["doc_id", "partner_id", "start", "end", "partner_start", "partner_end", "matched", "longest", "score"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
