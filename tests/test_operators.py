@@ -1,6 +1,7 @@
 """Goldens and invariants of the core operators."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -329,6 +330,22 @@ def test_partitions(spark):
     assert len({blocks[i] for i in range(5)}) == 1 and len({blocks[i] for i in range(10, 15)}) == 1 and blocks[0] != blocks[10]
 
 
+def test_name_matching_loses_no_likeness(spark):
+    rng = random.Random(3)
+    syllables = ("iso", "organ", "ization", "course", "pro", "fessor", "of", "x")
+    a, b = ({"".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4))) for _ in range(25)} | set(extra) for extra in (("isorganization", "ab"), ("organization", "ac")))
+    rest = [(X.isub_score(x, y), x, y) for x in a for y in b]
+    rest = sorted((round(s, 9), x, y) for s, x, y in rest if round(s, 9) >= 0.5)[::-1]
+    one_col = lambda names: spark.createDataFrame([(n,) for n in sorted(names)], "n string").coalesce(1)
+    got = O.match_names(one_col(a), one_col(b), 0.5).collect()
+    assert len({r.a for r in got}) == len({r.b for r in got}) == len(got)
+    assert sorted(r.likeness for r in got)[-1] == rest[0][0]
+    left = {r.a for r in got}, {r.b for r in got}
+    assert all(x in left[0] or y in left[1] for _, x, y in rest)  # nothing above the threshold is left unmatched
+    names = O.match_names(one_col({"isorganization"}), one_col({"organization"}), 0.5).collect()
+    assert [(r.a, r.b) for r in names] == [("isorganization", "organization")]
+
+
 def test_scorers(spark):
     w = {"and": [(np.eye(4)[:, :2], np.zeros(2))], "or": [(np.eye(4)[:, :2], np.zeros(2))], "not": [(-np.eye(2), np.zeros(2))]}
     net = scorers.LogicNet(np.array([[0, 0], [1, 0], [0, 1]], float), np.array([1.0, 0.0]), w)

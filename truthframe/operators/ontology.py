@@ -416,17 +416,25 @@ def connectivity(stats_edges: DataFrame) -> DataFrame:
 
 
 def match_names(left: DataFrame, right: DataFrame, least: float = 0.8) -> DataFrame:
-    """``(a, b, likeness)``: a one-to-one matching of names, best first, among those that share a word or their first four letters.
+    """``(a, b, likeness)``: a one-to-one matching of names, best first, among the pairs of likeness ``least`` or more.
 
-    Greedy by mutual best: in each round every name that is its best partner's best is matched, and taken away.
+    Greedy by mutual best: in each round every name that is its best partner's best is matched, and taken away, until
+    no pair is left. Names of three and more letters that have no three consecutive ones in common are below -0.8,
+    so others meet at what they share; names of one or two letters meet all.
     """
-    keys = lambda c: F.array_distinct(F.concat(X.camel_words(F.col(c)), F.array(F.concat(F.lit("^"), F.substring(X.plain_name(F.col(c)), 1, 4)))))
     a = left.select(F.col(left.columns[0]).alias("a")).distinct()
     b = right.select(F.col(right.columns[0]).alias("b")).distinct()
-    pairs = a.withColumn("k", F.explode(keys("a"))).join(b.withColumn("k", F.explode(keys("b"))), "k").select("a", "b").distinct()
+    if least <= -0.8:
+        pairs = a.crossJoin(b)
+    else:
+        size = lambda c: F.length(F.lower(c))
+        grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), size(c) - 2), lambda i: F.substring(F.lower(F.col(c)), i, F.lit(3))))
+        long = lambda df, c: df.filter(size(c) > 2).withColumn("k", F.explode(grams(c)))
+        short = a.filter(size("a") <= 2).crossJoin(b).union(a.crossJoin(b.filter(size("b") <= 2)))
+        pairs = long(a, "a").join(long(b, "b"), "k").select("a", "b").union(short).distinct()
     scored = materialize(pairs.withColumn("likeness", F.round(X.isub("a", "b"), 9)).filter(F.col("likeness") >= least), "pairs")
     out = None
-    for _ in range(100):
+    while True:
         best_a = scored.groupBy("a").agg(F.max(F.struct("likeness", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
         best_b = scored.groupBy("b").agg(F.max(F.struct("likeness", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
         pick = materialize(scored.join(best_a, ["a", "b"], "left_semi").join(best_b, ["a", "b"], "left_semi"), "matched")
