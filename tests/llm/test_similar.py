@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from truthframe.llm.near import exact_pairs, near_groups, parity, region_pairs
-from truthframe.llm.overlap import CHUNKS, chunk_digests, cross_overlaps, level_of
+from truthframe.llm.contents import contents, distinct_contents
+from truthframe.llm.overlap import cross_overlaps, overlap_classes
 from truthframe.llm.related import anneal, pattern_codes, related_groups, related_splits, split_report, university_numbers
 
 
@@ -121,13 +122,13 @@ def test_cross_overlaps_equal_brute_force(spark):
     assert cross_overlaps(train.limit(0), other).count() == 0 and cross_overlaps(train, other.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("n", [5_000, 20_000])
+@pytest.mark.parametrize("n", [100, 5_000, 20_000, 50_000])
 def test_overlaps_of_long_records_equal_brute_force(spark, n):
     rng = random.Random(n)
     ours, theirs = [], []
-    for family in range(4):
+    for family in range(3):
         base = [(f"E{family}_{i}", "is", "C") for i in range(n)]
-        for k, edits in enumerate((n // 9, n // 9 + 2, n // 20)):  # substituted triples: 0.8, just below, 0.9
+        for k, edits in enumerate((n // 9, n // 9 + 2, n * 15 // 185, n // 20)):  # substituted triples: 0.8, just below, 0.85, 0.9
             gone = set(rng.sample(range(n), edits))
             theirs.append([*(t for i, t in enumerate(base) if i not in gone), *((f"X{family}_{k}_{i}", "is", "D") for i in range(edits))])
         ours.append(base)
@@ -135,16 +136,32 @@ def test_overlaps_of_long_records_equal_brute_force(spark, n):
     train = spark.createDataFrame([(i, body(s, rng), None) for i, s in enumerate(ours)], schema).repartition(4)
     other = spark.createDataFrame([(100 + i, body(s, rng), "eval") for i, s in enumerate(theirs)], schema).repartition(4)
     want = {(i, 100 + j) for i, a in enumerate(ours) for j, b in enumerate(theirs) if similar(a, b)}
-    assert len(want) == 8 and {(r.train_row_id, r.row_id) for r in cross_overlaps(train, other).collect()} == want
-
-
-def test_chunks_follow_the_size():
-    assert level_of(np.array([1, CHUNKS - 1, CHUNKS, 4 * CHUNKS - 1, 4 * CHUNKS])).tolist() == [0, 0, 1, 1, 2]
-    tid = np.sort(np.random.default_rng(2).integers(0, 2**63, 400, dtype=np.uint64))
-    digests, lengths = chunk_digests(tid, 2)
-    assert lengths.sum() == 400 and 60 < len(digests) < 160
-    edited, _ = chunk_digests(np.delete(tid, 200), 2)
-    assert len(set(digests.tolist()) - set(edited.tolist())) <= 2  # an edit alters only its own chunk, and the next if it was a landmark
+    assert len(want) == 9 and {(r.train_row_id, r.row_id) for r in cross_overlaps(train, other).collect()} == want
+
+
+def test_overlap_classes_stand_for_their_copies(spark):
+    rng, sets = random.Random(9), corpus(6, 6)
+    ours = [(i, body(s, rng)) for i, s in enumerate(sets + sets[:8])]
+    theirs = [(1000 + i, body(s, rng), "eval") for i, s in enumerate(sets[3:20] + sets[5:9])]
+    train, other = spark.createDataFrame(ours, "row_id long, body string"), spark.createDataFrame(theirs, "row_id long, body string, split_name string")
+    pairs, members = (df.collect() for df in overlap_classes(train, other))
+    same = lambda rows, k: {r[0] for r in rows if set(eval(r[1])) == set(eval(rows[k][1]))}
+    full = {(r.train_row_id, r.row_id) for r in cross_overlaps(train, other).collect()}
+    copies = {r.train_class: same([(i, b.replace("[", "(").replace("]", ")")) for i, b in ours], r.train_class) for r in pairs}
+    of = {}
+    for m in members:
+        of.setdefault(m["class"], set()).add(m.row_id)
+    assert {(a, b) for r in pairs for a in copies[r.train_class] for b in of[r["class"]]} == full and full
+    assert all(r.train_copies == len(copies[r.train_class]) and r.copies == len(of[r["class"]]) for r in pairs)
+    assert [df.count() for df in overlap_classes(train.limit(0), other)] == [0, 0]
+
+
+def test_contents_of_equal_bits_are_told_apart(spark):
+    rng, sets = random.Random(10), [s for s in corpus(7, 3)]
+    rows = contents(spark.createDataFrame([(i, body(s, rng)) for i, s in enumerate(sets)], "row_id long, body string"))
+    keyed, records = distinct_contents(rows, "cid & 1L")
+    n = len({frozenset(s) for s in sets})
+    assert records.count() == n and keyed.select("cid", "content").distinct().count() == n
 
 
 NAMES = [

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from truthframe.functions.bodies import parse_body
+from truthframe.session import drop_written, materialize
 
 _NOT_CONTENT = re.compile("[^a-z0-9\x1f]+")
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -100,6 +101,19 @@ def contents(df: DataFrame, id_col: str = "row_id", body_col: str = "body", leas
     return picked.mapInArrow(run, schema)
 
 
-def distinct_contents(found: DataFrame) -> DataFrame:
-    """One ``(cid, n, triples)`` for each content, however many rows have it (copies are merged on the map side first)."""
-    return found.groupBy("cid").agg(F.first("n").alias("n"), F.first("triples").alias("triples"))
+def distinct_contents(rows: DataFrame, part: str = "cid") -> tuple[DataFrame, DataFrame]:
+    """``rows`` of ``contents`` and one ``(cid, n, triples)`` for each content, written out, however many rows have it.
+
+    Copies are merged on the map side first. ``cid`` has 64 of the 128 bits of ``content``, or those that ``part`` takes of it;
+    should two contents share them, other 64 bits are taken, so that in what is returned no two do.
+    """
+    rows = rows.withColumn("cid", F.expr(part))
+    for salt in range(1, 9):
+        found = materialize(
+            rows.groupBy("cid").agg(F.first("n").alias("n"), F.first("triples").alias("triples"), F.min("content").alias("low"), F.max("content").alias("high")), "distinct"
+        )
+        if not found.filter("low <> high").head(1):
+            return rows, found.select("cid", "n", "triples")
+        drop_written(found)
+        rows = rows.withColumn("cid", F.xxhash64("content", F.lit(salt)))
+    raise RuntimeError("contents can't be told apart")

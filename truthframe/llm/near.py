@@ -26,14 +26,14 @@ from pyspark.sql import functions as F
 
 from truthframe.llm.contents import contents, distinct_contents, mix
 from truthframe.operators.components import connected_components
-from truthframe.session import materialize
+from truthframe.session import drop_written, materialize
 
 TREES, DEPTH, REGION, NEIGHBOURS = 20, 5, 24, 4
 #: Depth up to which the trees are relied on.
 SURE = 3
 #: First sizes of the classes of sizes: each size its own up to 64, then 2 % wide.
 CLASSES = np.unique(np.concatenate((np.arange(1, 65), np.ceil(64 * 1.02 ** np.arange(1, 875))))).astype(np.int64)
-#: A region that grows beyond this number of rows within one task is worked off in parts.
+#: A region that grows beyond this number of rows within one task is worked off in parts, which have its first row and their borders in common.
 BUFFER = 200_000
 
 
@@ -170,15 +170,20 @@ def _candidates(forest: DataFrame, p: int, q: int) -> DataFrame:
             # work off all but the last region, whose end may be still to come
             breaks = np.nonzero((cols[0][1:, :2] != cols[0][:-1, :2]).any(axis=1))[0] + 1
             end = int(breaks[-1]) if len(breaks) else 0
-            if held - end > BUFFER:
-                end = held - NEIGHBOURS
+            goes_on = np.arange(end, held)
+            if len(goes_on) > BUFFER:
+                # the run of the last whole signature goes on from its first row, its spokes' hub
+                others = np.nonzero((cols[0][1:] != cols[0][:-1]).any(axis=1))[0] + 1
+                hub = int(others[-1]) if len(others) else 0
+                end, goes_on = held, np.unique(np.append(np.arange(held - NEIGHBOURS, held), hub))
             if end:
                 yield pairs(*(c[:end] for c in cols))
-            kept, held = [tuple(c[end:] for c in cols)], held - end
+            kept, held = [tuple(c[goes_on] for c in cols)], len(goes_on)
         if held:
             yield pairs(*(np.concatenate(c) for c in zip(*kept)))
 
-    ordered = forest.repartitionByRange("sig").sortWithinPartitions("sig")
+    # equal signatures are spread over tasks by content; their rows are crowded ones
+    ordered = forest.repartitionByRange("sig", "cid").sortWithinPartitions("sig", "cid")
     return ordered.mapInArrow(run, "a long, b long, spoke boolean").groupBy("a", "b").agg(F.max("spoke").alias("spoke"))
 
 
@@ -278,6 +283,7 @@ def near_components(records: DataFrame, similarity: float = 0.8) -> DataFrame:
     found = _verified(rest, records, p, q)
     found = materialize(found if links is None else found.union(links), "found")
     parts = materialize(connected_components(found, "a", "b"), "parts")
+    drop_written(found), drop_written(links)
     crowd = candidates.filter("a = b").select(F.col("a").alias("cid"))
     if not crowd.head(1):
         return parts
@@ -296,8 +302,7 @@ def near_groups(df: DataFrame, id_col: str = "row_id", body_col: str = "body", s
     or by way of others) and ``copies`` the number of rows with the very same content. Rows without a content have
     no row, nor have rows without an id; repeated rows come out once, but count as copies.
     """
-    rows = materialize(contents(df, id_col, body_col, least).select("id", "cid", "n", "triples"), "contents")
-    records = materialize(distinct_contents(rows), "distinct")
+    rows, records = distinct_contents(materialize(contents(df, id_col, body_col, least), "contents"))
     parts = near_components(records, similarity)
     copies = rows.groupBy("cid").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
     classes = copies.join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "least", "copies", F.coalesce("component", "cid").alias("component"))
