@@ -14,8 +14,11 @@ from truthframe.session import materialize
 
 #: A university's number after its several spellings: University7, univ-0007, UNIV_7, U7.
 NUMBER = r"(?i)(?:university|univ|(?<![A-Za-z0-9])u)[ _-]*0*([0-9]+)"
-#: Components at or above a UNITS-th of all rows are moved singly (at most UNITS of them), smaller ones in UNITS bundles of whole components.
+#: Up to 2 * UNITS components are moved singly. Of more, those at or above a UNITS-th of all rows are, the others in UNITS bundles of whole components.
 UNITS = 2048
+#: Patterns whose shares are looked after one by one where no catalog names them; rarer ones count together.
+LABELS = 256
+OTHER = "OTHER"
 CHAINS, STEPS = 12, 40_000
 NO_CODE = ("", "none", "nan", "null")
 
@@ -42,7 +45,8 @@ def related_groups(df: DataFrame, id_col: str, keys: Column, *keep: str) -> Data
     ``group_key`` is the smallest key of all rows tied to the row (null without any key).
 
     Components are sought among keys, of which only those that stand in one row with another make edges; rows
-    join once, by their first key, and a key that very many rows hold is split by adaptive execution.
+    join once, by their first key, and a key that very many rows hold is split by adaptive execution. Rows without a
+    key are spread over the join under names that no key has.
     """
     rows = df.select(F.col(id_col).alias("row_id"), keys.alias("keys"), *keep)
     ties = (
@@ -51,10 +55,12 @@ def related_groups(df: DataFrame, id_col: str, keys: Column, *keep: str) -> Data
         .select("e.src", "e.dst")
         .distinct()
     )
-    roots = connected_components(ties).withColumnRenamed("node", "key")
+    roots = connected_components(ties).select(F.col("node").cast("string").alias("at"), "component")
+    key = F.try_element_at("keys", F.lit(1))
+    at = F.coalesce(key.cast("string"), F.concat(F.lit("none "), F.pmod(F.xxhash64("row_id"), F.lit(4096)).cast("string")))
     return (
-        rows.withColumn("key", F.try_element_at("keys", F.lit(1)))
-        .join(roots, "key", "left")
+        rows.withColumns({"key": key, "at": at})
+        .join(roots, "at", "left")
         .select("row_id", F.coalesce("component", "key").alias("group_key"), *keep)
     )
 
@@ -120,16 +126,20 @@ def related_splits(
     seed: int = 7,
     chains: int = CHAINS,
     steps: int = STEPS,
+    most_units: int = UNITS,
+    catalog: DataFrame | None = None,
 ) -> DataFrame:
     """``(row_id, group_key, split_name, codes)``: every row's split; rows tied by universities share one.
 
     Rows without a university number are groups of their own (``group_key`` null). From a hashed assignment,
     ``chains`` annealing runs in parallel move or exchange whole units to lessen the deviation from
-    ``target_share``, over all rows and within each pattern; the best end wins. Units are the large components
-    one by one and the small ones in bundles, so what a run is given has a fixed size (at most 2 * ``UNITS``
-    rows by pattern), however many components there are. A group that exceeds a split's share can't be cut;
-    the rest makes up for it as far as possible. Targets that don't sum to 1 are scaled. Null patterns count as
-    "NONE"; an empty table gives no rows. The result is the same for the same rows, targets and seed.
+    ``target_share``, over all rows and within each pattern; the best end wins. Units are components: all of them one
+    by one up to ``2 * most_units``, else the large ones one by one and the small ones in bundles, so what a run is given
+    has at most so many units. Patterns are those of ``catalog`` (its first column, codes; rows of a bounded table),
+    without it the ``LABELS`` most frequent; what other codes there are counts as one pattern, "OTHER". A group that
+    exceeds a split's share can't be cut; the rest makes up for it as far as possible. Targets that don't sum to 1 are
+    scaled. Null patterns count as "NONE"; an empty table gives no rows. The result is the same for the same rows,
+    targets and seed.
     """
     spark = df.sparkSession
     goal = sorted((r[0], float(r[1])) for r in targets.select("split_name", "target_share").filter("target_share > 0").collect())  # one row a split
@@ -141,13 +151,22 @@ def related_splits(
     codes = df.withColumn("codes__", pattern_codes(F.col(pattern_col))).withColumn("keys__", university_numbers(F.col(name_col), F.col(pattern_col)))
     rows = materialize(related_groups(codes, id_col, F.col("keys__"), "codes__").withColumnRenamed("codes__", "codes"), "groups")
     own = F.coalesce(F.col("group_key").cast("string"), F.concat(F.lit("row "), F.col("row_id").cast("string")))
-    bundle = F.pmod(F.xxhash64(own, F.lit(seed)), F.lit(UNITS)).cast("int")
-    total = rows.count()
-    large = [r[0] for r in rows.filter("group_key is not null").groupBy("group_key").count().filter(F.col("count") * UNITS >= max(total, UNITS)).orderBy("group_key").collect()]  # at most UNITS
-    single = spark.createDataFrame([(k, UNITS + i) for i, k in enumerate(large)], "group_key long, single int")
-    placed = rows.join(F.broadcast(single), "group_key", "left").withColumn("unit", F.coalesce("single", bundle))
-    label = F.explode(F.concat(F.array(F.lit("")), "codes"))
-    table = placed.select("unit", label.alias("label")).groupBy("unit", "label").count().collect()  # units x patterns
+    rows = rows.withColumn("own", own)
+    sizes = materialize(rows.groupBy("own").count(), "sizes")
+    single = sizes
+    if sizes.count() > 2 * most_units:
+        total = sizes.agg(F.sum("count")).first()[0]
+        single = sizes.filter(F.col("count") * most_units >= total)  # at most most_units
+    single = spark.createDataFrame([(r[0], most_units + i) for i, r in enumerate(single.select("own").orderBy("own").collect())], "own string, single int")
+    bundle = F.pmod(F.xxhash64("own", F.lit(seed)), F.lit(most_units)).cast("int")
+    placed = rows.join(F.broadcast(single), "own", "left").withColumn("unit", F.coalesce("single", bundle))
+    if catalog is not None:
+        known = sorted({r[0].strip().upper() for r in catalog.select(catalog.columns[0]).distinct().collect() if r[0]} | {"NONE"})
+    else:
+        counted = rows.select(F.explode("codes").alias("code")).groupBy("code").count()
+        known = sorted(r[0] for r in counted.orderBy(F.col("count").desc(), "code").limit(LABELS).collect())
+    named = F.array_distinct(F.transform("codes", lambda c: F.when(c.isin(known), c).otherwise(OTHER)))
+    table = placed.select("unit", F.explode(F.concat(F.array(F.lit("")), named)).alias("label")).groupBy("unit", "label").count().collect()  # units x known patterns
 
     unit_ids = sorted({r["unit"] for r in table})
     labels = sorted({r["label"] for r in table})  # the empty label, for all rows, is the first
