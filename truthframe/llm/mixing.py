@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from truthframe.llm.tokens import VOCABULARY, tokenizer
 from truthframe.session import materialize
 
-BUCKETS = 1024
+#: Texts that one task lays out in order; a pattern is hashed into as many parts as it needs.
+PART = 50_000
 
 
 def source_name(c: Column) -> Column:
@@ -172,7 +173,8 @@ class Mixture:
             sizes.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.bit_or("bit").alias("pattern")).withColumn("order", F.xxhash64("text_hash", F.lit(seed))),
             "texts",
         )
-        held = {r[0]: int(r[1]) for r in self.units.groupBy("pattern").agg(F.sum("n_tokens")).collect()}  # at most one row a pattern
+        sums = self.units.groupBy("pattern").agg(F.sum("n_tokens"), F.count("*")).collect()  # at most one row a pattern
+        held, self.parts = {r[0]: int(r[1]) for r in sums}, {r[0]: -(-int(r[2]) // PART) for r in sums}
         self.held = {p: n for p, n in held.items() if n > 0}
         self.flow, self.wanted = plan(self.held, [max(0.0, r[1] or 0.0) for r in self.targets], [max(0, r[2] or 0) for r in self.targets], total_tokens)
 
@@ -189,10 +191,10 @@ class Mixture:
             stretches.append((mask, self.targets[s][0], self.held[mask], a, a + tokens))
             at[mask] = a + tokens
         taken = spark.createDataFrame(stretches, "pattern long, source string, ring long, a long, z long")
-        bucket = F.pmod(F.shiftright("order", 20), F.lit(BUCKETS)).cast("int")
-        units = self.units.withColumn("bucket", bucket)
+        parts = spark.createDataFrame(sorted(self.parts.items()), "pattern long, parts long")
+        units = self.units.join(F.broadcast(parts), "pattern").withColumn("bucket", F.pmod(F.shiftright("order", 20), F.col("parts")).cast("int"))  # one row a pattern
         sums = units.groupBy("pattern", "bucket").agg(F.sum("n_tokens").alias("tokens"))
-        before = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # over at most BUCKETS rows
+        before = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
         sums = sums.select("pattern", "bucket", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
         inside = Window.partitionBy("pattern", "bucket").orderBy("order", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
         placed = units.withColumn("x", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(sums, ["pattern", "bucket"]).withColumn("x", F.col("x") + F.col("base"))

@@ -5,8 +5,8 @@ has at most ``capacity`` entries however many items there are, and yields patter
 number of bins of each. Items above a third of the capacity are matched: at most two of them fit a bin, and the
 largest takes the largest that still fits. Smaller items, in descending order, go to the bin with the smallest
 gap that holds them (best fit), whole groups of equal bins at a time. Then every item takes the place that its
-rank among the items of its size gives it; ranks are counted within salted groups, so a size that very many items
-have is never sorted by one task.
+rank among the items of its size gives it; ranks are counted within hashed groups of some ``GROUP`` items, as many as a
+size needs, so a size that very many items have is never sorted by one task.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from truthframe.llm.tokens import VOCABULARY, pieces
 from truthframe.session import materialize
 
-CAPACITY, SALTS = 1024, 64
+CAPACITY, GROUP = 1024, 50_000
 
 Pattern = tuple[tuple[int, int], ...]
 
@@ -113,7 +113,7 @@ def _places(patterns: list[tuple[Pattern, int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 4)
 
 
-def fill_containers(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
+def fill_containers(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY, group: int = GROUP) -> DataFrame:
     """``(bin_id, doc_id, piece, first_char, n_chars, n_tokens)``: the container of every text, or of each piece of an oversized one.
 
     A text of more than ``capacity`` tokens is cut into pieces that fill containers, and only its rest is packed
@@ -123,29 +123,25 @@ def fill_containers(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = df.sparkSession
     items = materialize(pieces(df, id_col, text_col, capacity, vocabulary), "pieces")
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")
-    items = items.withColumn("salt", salt)
-    groups = items.groupBy("n_tokens", "salt").agg(F.count("*").alias("items")).toPandas()  # at most capacity * SALTS rows
-    histogram = {int(s): int(n) for s, n in groups.groupby("n_tokens")["items"].sum().items()}
-    places = _places(pack(histogram, capacity))
-    groups = groups.sort_values(["n_tokens", "salt"])
-    groups["before"] = groups.groupby("n_tokens")["items"].cumsum() - groups["items"]
-    before = {(int(a), int(b)): int(c) for a, b, c in groups[["n_tokens", "salt", "before"]].itertuples(index=False)}
-    offsets = np.zeros((capacity + 1, SALTS), np.int64)
-    for (a, b), c in before.items():
-        offsets[a, b] = c
+    sizes = items.groupBy("n_tokens").agg(F.count("*").alias("items")).collect()  # at most a row for each size up to the capacity
+    places = _places(pack({int(s): int(n) for s, n in sizes}, capacity))
+    salts = spark.createDataFrame([(int(s), -(-int(n) // group)) for s, n in sizes], "n_tokens int, salts long")
+    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.col("salts")).cast("int")
+    items = items.join(F.broadcast(salts), "n_tokens").select("doc_id", "piece", "first_char", "n_chars", "n_tokens", salt.alias("salt"))
+    before = Window.partitionBy("n_tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)  # over a size's groups
+    groups = items.groupBy("n_tokens", "salt").agg(F.count("*").alias("size")).select("n_tokens", "salt", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
     keys = (places[:, 0] << 44) + places[:, 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size, salted, nth = (b.column(i).to_numpy().astype(np.int64) for i in (4, 5, 6))
-            rank = offsets[size, salted] + nth - 1
+            size, rank = b.column(4).to_numpy().astype(np.int64), b.column(5).to_numpy() - 1
             at = np.searchsorted(keys, (size << 44) + rank, "right") - 1
             bins = places[at, 2] + (rank - places[at, 1]) // places[at, 3]
             yield pa.RecordBatch.from_arrays([pa.array(bins), *(b.column(i) for i in range(5))], names=["bin_id", "doc_id", "piece", "first_char", "n_chars", "n_tokens"])
 
     nth = F.row_number().over(Window.partitionBy("n_tokens", "salt").orderBy("doc_id", "piece"))
-    ranked = items.withColumn("nth", nth).select("doc_id", "piece", "first_char", "n_chars", "n_tokens", "salt", "nth")
+    ranked = items.withColumn("nth", nth).join(groups, ["n_tokens", "salt"])
+    ranked = ranked.select("doc_id", "piece", "first_char", "n_chars", "n_tokens", (F.col("before") + F.col("nth")).alias("rank"))
     return ranked.mapInArrow(run, "bin_id long, doc_id long, piece int, first_char int, n_chars int, n_tokens int")
 
 
