@@ -31,8 +31,8 @@ from truthframe.session import materialize
 LENGTH, SEED = 200, 100
 #: Cost of a character of gap in either text, against 1 for a character of seed.
 GAP = 0.1
-#: Bits of the filter that tells which seeds are shared; fuller filters let more through, never less.
-FILTER_BITS = 1 << 26
+#: The filter that tells which seeds are shared has this many bits a seed, and no more bits than MOST_BITS in all; fuller filters let more through, never less.
+SEED_BITS, MOST_BITS = 12, 1 << 28
 #: Characters worked on at once, unless a single text is longer: few enough for their hashes to stay in a core's cache.
 SLAB = 1 << 16
 #: Windows handed on at once.
@@ -277,11 +277,13 @@ class SharedSpans:
     and other columns are ignored, whatever their names.
     """
 
-    def __init__(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int | None = None, bits: int = FILTER_BITS):
+    def __init__(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int | None = None, bits: int | None = None):
         self.length, self.k = length, k or max(1, length // 2)
         texts = _texts(df, id_col, text_col, length)
         held = _all_seeds(texts, length, self.k).groupBy("seed").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
         self.shared = materialize(held.filter("low < high"), "seeds")
+        if bits is None:
+            bits = min(MOST_BITS, 1 << max(16, (SEED_BITS * self.shared.count()).bit_length()))
         self.docs = materialize(_seeded(texts, self.shared, length, self.k, bits), "texts")
         self.chained = self.occurring = None
 
