@@ -11,9 +11,12 @@ import ast
 import json
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from truthframe.session import ship
+
 #: Names of the three fields in notations that name them.
 FIELDS = {"s": 0, "subject": 0, "subj": 0, "p": 1, "predicate": 1, "pred": 1, "o": 2, "object": 2, "obj": 2}
 
@@ -69,10 +72,15 @@ _TRIPLES = ArrayType(StructType([StructField(c, StringType()) for c in "spo"]))
 
 
 @F.pandas_udf(_TRIPLES)
-def body_triples(bodies: pd.Series) -> pd.Series:
-    """``array<struct<s,p,o>>`` with trimmed entries; null for null and broken bodies."""
+def _body_triples(bodies: pd.Series) -> pd.Series:
     out = []
     for b in bodies:
         flat = parse_body(b)
         out.append(None if flat is None else [dict(zip("spo", (x.strip() for x in flat[i : i + 3]))) for i in range(0, len(flat), 3)])
     return pd.Series(out)
+
+
+def body_triples(body: Column | str) -> Column:
+    """``array<struct<s,p,o>>`` with trimmed entries; null for null and broken bodies."""
+    ship()
+    return _body_triples(body)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from truthframe.session import ship
+
 #: Words of class expressions that are operators (fixed values).
 OPERATORS = ("and", "exactly", "inverse", "max", "min", "not", "only", "or", "some")
 COUNT_BUCKETS = (1, 2, 3, 5, 10, 20, 50, 100, 200, 500, 1000)
@@ -68,11 +71,21 @@ def base_iri(iri: Column) -> Column:
 
 
 def camel_words(name: Column) -> Column:
-    """Words of a camel-case or underscored name, in lower case."""
+    """Words of a camel-case or underscored name in ASCII, in lower case; a run of capitals is a word of its own."""
     spaced = F.regexp_replace(F.regexp_replace(name, r"([a-z0-9])([A-Z])", "$1 $2"), r"([A-Z]+)([A-Z][a-z])", "$1 $2")
     return _parts(F.lower(spaced), r"[^a-z0-9]+")
 
 
+def term_tokens(term: Column) -> Column:
+    """Tokens of an IRI's local name or of a literal: runs of letters and digits, cut before a capital that follows a small letter; in lower case.
+
+    Capitals in a row stay together with what follows them (``XMLParser`` is one token), and letters of any script count.
+    """
+    local = F.regexp_extract(term, r"(?s)([^/#]*)$", 1)
+    cut = F.regexp_replace(local, r"(\p{Ll}[\p{L}\p{N}&&[^\p{Lu}]]*)(?=\p{Lu})", "$1 ")
+    return _parts(F.lower(cut), r"[^\p{L}\p{N}]+")
+
+
 def plain_name(name: Column) -> Column:
     """Camel case and runs of digits split by blanks, lower-cased, other symbols dropped."""
     s = F.regexp_replace(name, r"([a-z])([A-Z])", "$1 $2")
@@ -89,10 +102,11 @@ def natural_key(c: Column, width: int = 12) -> Column:
 def hash_slot(token: Column, dimensions: int) -> Column:
     """``(index, weight)`` of a token from its sha-256: index from the first 8 bytes, sign from the 9th, magnitude in [1, 2] from the 10th."""
     h = F.sha2(token.cast("binary"), 256)
-    number = lambda at, n: F.conv(F.substring(h, at, n), 16, 10).cast("decimal(20,0)")
-    index = F.pmod(number(1, 16), F.lit(dimensions).cast("decimal(20,0)")).cast("int")
-    sign = F.when(number(17, 2).cast("int") % 2 == 1, -1.0).otherwise(1.0)
-    return F.struct(index.alias("index"), (sign * (1 + number(19, 2).cast("double") / 255)).alias("weight"))
+    number = lambda at, n: F.conv(F.substring(h, at, n), 16, 10).cast("long")
+    # the first 64 bits modulo the dimensions, by halves: products stay below 2^63
+    index = (number(1, 8) % dimensions * ((1 << 32) % dimensions) + number(9, 8)) % dimensions
+    sign = F.when(number(17, 2) % 2 == 1, -1.0).otherwise(1.0)
+    return F.struct(index.cast("int").alias("index"), (sign * (1 + number(19, 2).cast("double") / 255)).alias("weight"))
 
 
 def edit_similarity(a: Column, b: Column) -> Column:
@@ -103,35 +117,39 @@ def edit_similarity(a: Column, b: Column) -> Column:
 
 
 def isub_score(one: str, two: str) -> float:
-    """Similarity by repeatedly taking out the longest common substring of more than two characters.
+    """Similarity by repeatedly taking out a longest common substring of more than two characters.
 
-    Twice the common length over both lengths, less a penalty for what is left (a Hamacher product with p = 0.6), plus
-    a bonus for a common prefix of up to four characters. Strings of one or two characters are compared by edits.
+    Case, dots, underscores and blanks don't count. Twice the common length over both lengths, less a penalty for what is
+    left (a Hamacher product with p = 0.6), plus a bonus for a common prefix, of the names as they are given, of up to four
+    characters. Of names without anything left, one alone is like any other (1) and two are unlike (0). If either name has
+    one or two characters, the names are compared by edits, as they are given.
     """
-    a, b = one.lower(), two.lower()
-    if a == b:
-        return 1.0
+    if min(len(one), len(two)) <= 2:
+        e = _edits(one, two)
+        rest = len(one) + len(two) - e
+        return math.exp(-e / rest) if rest else float(not e)
+    a, b = (name.lower().translate(_SILENT) for name in (one, two))
     if not a or not b:
-        return 0.0
-    if min(len(a), len(b)) <= 2:
-        import math
-
-        e = _edits(a, b)
-        return math.exp(-e / (len(a) + len(b) - e)) if len(a) + len(b) > e else 0.0
-    total, common, x, y = len(a) + len(b), 0, a, b
-    prefix = 0
-    while prefix < min(4, len(a), len(b)) and a[prefix] == b[prefix]:
-        prefix += 1
+        return float(bool(a or b))
+    x, y, common = a, b, 0
     while x and y:
-        at, other, size = _longest_common(x, y)
+        at, other, size = _common_run(x, y)
         if size <= 2:
             break
         x, y, common = x[:at] + x[at + size :], y[:other] + y[other + size :], common + size
-    likeness = 2 * common / total
-    u, v = len(x) / len(a), len(y) / len(b)
+    likeness = 2 * common / (len(a) + len(b))
+    u, v = 1 - common / len(a), 1 - common / len(b)
     product, plus = u * v, u + v - u * v
-    unlike = product / (0.6 + 0.4 * plus) if product else 0.0
-    return max(-1.0, min(1.0, likeness - unlike + prefix * 0.1 * (1 - likeness)))
+    unlike = product / (0.6 + 0.4 * plus) if plus else 0.0
+    return likeness - unlike + _agree(one[:4], two[:4]) * 0.1 * (1 - likeness)
+
+
+_SILENT = str.maketrans("", "", "._ ")
+
+
+def _agree(a: str, b: str) -> int:
+    """How many characters two strings have in common at the start."""
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
 def _edits(a: str, b: str) -> int:
@@ -143,22 +161,26 @@ def _edits(a: str, b: str) -> int:
     return row[-1]
 
 
-def _longest_common(a: str, b: str) -> tuple[int, int, int]:
-    best, row = (0, 0, 0), [0] * (len(b) + 1)
-    for i, x in enumerate(a, 1):
-        then = [0] * (len(b) + 1)
-        for j, y in enumerate(b, 1):
-            if x == y:
-                then[j] = row[j - 1] + 1
-                if then[j] > best[2]:
-                    best = (i - then[j], j - then[j], then[j])
-        row = then
+def _common_run(a: str, b: str) -> tuple[int, int, int]:
+    """Where a longest common run stands in both, and its length; the first in ``a``, then in ``b``.
+
+    For each place in ``a`` the runs in ``b`` are those met from left to right, each beginning behind the one before.
+    """
+    best = (0, 0, 0)
+    for i in range(len(a)):
+        if len(a) - i <= best[2]:
+            break
+        j = b.find(a[i])
+        while j >= 0:
+            size = _agree(a[i:], b[j:])
+            if size > best[2]:
+                best = (i, j, size)
+            j = b.find(a[i], j + size) if len(b) - j - size > best[2] else -1
     return best
 
 
 @F.pandas_udf(DoubleType())
-def isub(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """``isub_score`` of two columns; each distinct pair of a batch is compared once."""
+def _isub(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     known: dict[tuple[str, str], float] = {}
     for a, b in batches:
         out = []
@@ -174,6 +196,12 @@ def isub(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         yield pd.Series(out, dtype="float64")
 
 
+def isub(a: Column | str, b: Column | str) -> Column:
+    """``isub_score`` of two columns; each distinct pair of a batch is compared once."""
+    ship()
+    return _isub(a, b)
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
     norms = F.sqrt(dot(a, a) * dot(b, b))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from truthframe.operators.relalg import compose
-from truthframe.session import drop_written, materialize
+from truthframe.session import drop_written, map_arrow, materialize
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -36,20 +36,18 @@ def distances(edges: DataFrame, nodes: DataFrame, limit: int | None = None, pair
     ``pairs`` unreachable pairs come out too, with n + 1 for n nodes; that answer has n * n rows by definition.
     """
     n = F.col(nodes.columns[0])
-    e = edges.select("src", "dst").distinct()
-    found = materialize(nodes.select(n.alias("src"), n.alias("dst"), F.lit(0).alias("dist")), "distances")
-    frontier, step = found, 0
+    e = materialize(edges.select(F.col("src").alias("via"), "dst").distinct(), "edges")
+    found = frontier = materialize(nodes.select(n.alias("src"), n.alias("dst"), F.lit(0).alias("dist")).distinct(), "frontier")
+    step = 0
     while limit is None or step < limit:
         step += 1
-        reach = frontier.select("src", F.col("dst").alias("via")).join(e.withColumnRenamed("src", "via"), "via").select("src", "dst").distinct()
-        fresh = materialize(reach.join(found, ["src", "dst"], "left_anti").withColumn("dist", F.lit(step)), "frontier")
-        if not fresh.head(1):
+        reach = frontier.select("src", F.col("dst").alias("via")).join(e, "via").select("src", "dst").distinct()
+        # every frontier stays a table of its own; none is written again
+        frontier = materialize(reach.join(found.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("dist", F.lit(step)), "frontier")
+        if not frontier.head(1):
             break
-        then = materialize(found.unionByName(fresh), "distances")
-        drop_written(found)
-        if frontier is not found:
-            drop_written(frontier)
-        found, frontier = then, fresh
+        found = found.unionByName(frontier)
+    drop_written(e)
     if not pairs:
         return found
     far = nodes.count() + 1
@@ -121,7 +119,7 @@ def on_cycle(edges: DataFrame) -> DataFrame:
         if size == before:
             return now
     key = lambda c: F.to_json(F.struct(F.col(c).alias("x")))
-    return now.select(key("src").alias("a"), key("dst").alias("b"), "src", "dst").repartition(1).mapInArrow(_peel, now.schema)
+    return map_arrow(now.select(key("src").alias("a"), key("dst").alias("b"), "src", "dst").repartition(1), _peel, now.schema)
 
 
 def chain_of_two(edges: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from truthframe.session import materialize
+
 
 def label_01(df: DataFrame, label: str = "label") -> DataFrame:
     return df.withColumn(label, F.when(F.col(label) > 0, 1).otherwise(0))
@@ -87,26 +89,30 @@ def leave_out_by_time(df: DataFrame, leave_n: int = 1, warm_n: int = 5, rounds:
 
 
 def negatives(users: DataFrame, items: DataFrame, known: DataFrame, per_user: int, seed: int = 0, uid: str = "uid", iid: str = "iid") -> DataFrame:
-    """``per_user`` items for each user that aren't known for it, in hash order: fewer if there are fewer.
+    """``per_user`` items for each user that aren't known for it, in hash order: all there are if there are fewer.
 
-    Candidates are drawn by probing: with the items numbered from 1, a user tries ``2 * per_user + its known items``
-    pseudo-random numbers, so nothing grows with users times items. Users of whom that leaves too few take what is left of all items.
+    Candidates are drawn by probing: with the items numbered from 1, a user tries pseudo-random numbers, ``seen + 2 * per_user``
+    and some, so nothing grows with users times items. Users that need more than half of what is left, and those
+    whose tries yield too few, take from all items.
     """
     from truthframe.operators.fuzzy_logic import with_rank
 
     numbered = with_rank(items.select(iid).distinct(), iid, "rank__")
     size = numbered.count()
-    seen = known.select(uid, iid).distinct()
+    seen = known.select(uid, iid).join(numbered.select(iid), iid, "left_semi").select(uid, iid).distinct()
     counts = users.select(uid).distinct().join(seen.groupBy(uid).agg(F.count("*").alias("seen__")), uid, "left").fillna(0, ["seen__"])
-    tries = F.least(F.lit(size * 4), F.col("seen__") + 2 * per_user + 8)
-    probes = counts.withColumn("try__", F.explode(F.sequence(F.lit(0), tries.cast("int"))))
-    probes = probes.withColumn("rank__", F.pmod(F.xxhash64(uid, "try__", F.lit(seed)), F.lit(size)).cast("int") + 1)
-    few = F.col("seen__") * 5 > size * 4  # less than a fifth remains: list it
-    listed = counts.filter(few).crossJoin(F.broadcast(numbered)) if size <= 100_000 else counts.filter(few).join(numbered)
-    found = probes.filter(~few).join(numbered, "rank__").select(uid, iid).unionByName(listed.select(uid, iid)).distinct()
-    fresh = found.join(seen, [uid, iid], "left_anti")
+    counts = counts.withColumn("wanted__", F.least(F.lit(per_user).cast("long"), F.lit(size) - F.col("seen__")))
+    many = F.col("wanted__") * 2 > F.lit(size) - F.col("seen__")
+    tries = F.col("seen__") + 2 * per_user + 8
+    probes = counts.filter(~many & (F.col("wanted__") > 0)).withColumn("try__", F.explode(F.sequence(F.lit(0), tries.cast("int"))))
+    probes = probes.withColumn("rank__", F.pmod(F.xxhash64(uid, "try__", F.lit(seed)), F.lit(max(size, 1))).cast("int") + 1)
+    fresh = materialize(probes.join(numbered, "rank__").select(uid, iid).distinct().join(seen, [uid, iid], "left_anti"), "probes")
+    got = fresh.groupBy(uid).agg(F.count("*").alias("got__"))
+    short = counts.join(got, uid, "left").filter(F.coalesce("got__", F.lit(0)) < F.col("wanted__")).select(uid)
+    listed = short.crossJoin(F.broadcast(numbered.select(iid))) if size <= 100_000 else short.join(numbered.select(iid))
+    found = fresh.join(short, uid, "left_anti").unionByName(listed.join(seen, [uid, iid], "left_anti"))
     w = Window.partitionBy(uid).orderBy(F.xxhash64(uid, iid, F.lit(seed)), iid)
-    return fresh.withColumn("nth__", F.row_number().over(w)).filter(F.col("nth__") <= per_user).drop("nth__")
+    return found.withColumn("nth__", F.row_number().over(w)).filter(F.col("nth__") <= per_user).drop("nth__")
 
 
 def all_negatives(users: DataFrame, items: DataFrame, known: DataFrame, uid: str = "uid", iid: str = "iid") -> DataFrame:

@@ -154,7 +154,9 @@ def _hits(r: Column) -> Column:
 
 
 def precision_at(r: Column, k: int) -> Column:
-    return _hits(F.slice(r, 1, k)) / k
+    """Share of relevant entries among the first ``k``, or among all where there are fewer; 0 without any."""
+    first = F.slice(r, 1, k)
+    return F.when(F.size(first) > 0, _hits(first) / F.size(first)).otherwise(0.0)
 
 
 def r_precision(r: Column) -> Column:

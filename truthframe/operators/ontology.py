@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType
 
 from truthframe.functions import text as X
-from truthframe.session import drop_written, materialize
+from truthframe.session import drop_written, map_arrow, materialize, ship
 
 #: Spellings of the two labels (fixed values).
 INCONSISTENT, CONSISTENT = ("inconsistent", "0", "false", "unsat", "no"), ("consistent", "1", "true", "sat", "yes")
@@ -238,10 +240,15 @@ def terms_of(axiom: list) -> list[str]:
 
 
 @F.pandas_udf(ArrayType(StringType()))
-def axiom_terms(axioms: pd.Series) -> pd.Series:
+def _axiom_terms(axioms: pd.Series) -> pd.Series:
     return axioms.map(lambda a: terms_of(json.loads(a)))
 
 
+def axiom_terms(axioms: Column | str) -> Column:
+    ship()
+    return _axiom_terms(axioms)
+
+
 def _local_udf(bottom: bool, ignore_assertions: bool):
     @F.pandas_udf(BooleanType())
     def local(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -341,29 +348,101 @@ def module_quality(assigned: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def agglomerate(edges: DataFrame, largest: int, rounds: int = 12) -> DataFrame:
-    """``(node, block)``: blocks grown by merging, in each round, every block with the one it is best coupled to where the wish is mutual.
+#: Pairs of blocks that one task takes to finish the merging of ``agglomerate`` by itself.
+COUPLED = 2_000_000
+
+
+def _lot(a, b, modulo: Callable = np.mod):
+    """A number that decides between equally good pairs, of arrays or columns: without a lot, one block after the other would win them all."""
+    p = 2147483647
+    return modulo(modulo(a, p) * 48271 + modulo(b, p) * 69621, p)
+
+
+def _merged(b1: np.ndarray, b2: np.ndarray, links: np.ndarray, size: np.ndarray, largest: int, names: np.ndarray) -> np.ndarray:
+    """The block that each block ends in, after all rounds over the pairs b1 != b2, both ways round; blocks are numbered in the order of their names."""
+    every = into = np.arange(len(size))
+    order = np.lexsort((b2, b1))
+    b1, b2, links = b1[order], b2[order], links[order]
+    while True:
+        fits = size[b1] + size[b2] <= largest  # blocks only grow, so what doesn't fit never will
+        b1, b2, links = b1[fits], b2[fits], links[fits]
+        if not len(b1):
+            return into
+        # of each block's pairs, which stand together, the best coupled; of several, by the names of both
+        starts = np.nonzero(np.append(True, b1[1:] != b1[:-1]))[0]
+        run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(b1))))
+        chosen = np.ones(len(b1), bool)
+        low, high = np.minimum(b1, b2), np.maximum(b1, b2)
+        for worth in (np.round(links / np.log(size[b1] * size[b2] + 1.0), 12), _lot(names[low], names[high]), -high, -low):
+            worth = np.where(chosen, worth, -np.inf)
+            chosen &= worth == np.maximum.reduceat(worth, starts)[run]
+        best = np.full(len(size), -1)
+        best[b1[chosen]] = b2[chosen]
+        met = every[(best >= 0) & (best < every)]
+        met = met[best[best[met]] == met]
+        step = every.copy()
+        step[met] = best[met]
+        np.add.at(size, step[met], size[met])
+        into = step[into]
+        b1, b2 = step[b1], step[b2]
+        apart = b1 != b2
+        keys, at = np.unique(b1[apart] * len(size) + b2[apart], return_inverse=True)
+        links = np.bincount(at, links[apart], len(keys))
+        b1, b2 = keys // len(size), keys % len(size)
+
+
+def _finish_merging(largest: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = list(batches)
+        if not found:
+            return
+        rows = pa.Table.from_batches(found)
+        b1, b2, links, s1, s2 = (rows.column(c).to_numpy() for c in ("b1", "b2", "links", "s1", "s2"))
+        names, at = np.unique(np.concatenate((b1, b2)), return_inverse=True)
+        size = np.zeros(len(names), np.int64)
+        size[at] = np.concatenate((s1, s2))
+        into = _merged(at[: len(b1)], at[len(b1) :], links.astype(float), size, largest, names)
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[into])], names=["block", "into"])
+
+    return run
+
+
+def agglomerate(edges: DataFrame, largest: int) -> DataFrame:
+    """``(node, block)``: blocks grown by merging, in each round, every block with the one it is best coupled to where the wish is mutual, until none can grow.
 
     Coupling is the number of edges between two blocks over the logarithm of the product of their sizes; no block
-    grows beyond ``largest``. Mutual best pairs are independent, so a whole round is one pass of joins.
+    grows beyond ``largest``. Nodes are whole numbers, and a block has the name of its smallest. Mutual best pairs are
+    independent, so a round is one pass of joins over the pairs of blocks that may still merge; once there are no more than
+    ``COUPLED``, one task does the remaining rounds.
     """
     from truthframe.operators.graphs import undirected
 
-    e = materialize(undirected(edges).filter("src != dst"), "edges")
-    blocks = materialize(e.select(F.col("src").alias("node"), F.col("src").alias("block")).distinct(), "blocks")
-    for _ in range(rounds):
+    e = undirected(edges).filter("src != dst")
+    pairs = materialize(e.groupBy(F.col("src").cast("long").alias("b1"), F.col("dst").cast("long").alias("b2")).agg(F.count("*").alias("links")), "pairs")
+    blocks = materialize(pairs.select(F.col("b1").alias("node"), F.col("b1").alias("block")).distinct(), "blocks")
+    while True:
         sizes = blocks.groupBy("block").agg(F.count("*").alias("size"))
-        between = e.join(blocks.toDF("src", "b1"), "src").join(blocks.toDF("dst", "b2"), "dst").filter("b1 != b2").groupBy("b1", "b2").agg(F.count("*").alias("links"))
-        scored = between.join(sizes.toDF("b1", "s1"), "b1").join(sizes.toDF("b2", "s2"), "b2").filter(F.col("s1") + F.col("s2") <= largest)
-        good = F.round(F.col("links") / F.log(F.col("s1") * F.col("s2") + 1.0), 12)
-        best = scored.withColumn("good", good).groupBy("b1").agg(F.max(F.struct("good", (-F.greatest("b1", "b2")).alias("t"), (-F.least("b1", "b2")).alias("v"), "b2")).alias("x")).select("b1", F.col("x.b2").alias("b2"))
-        mutual = materialize(best.join(best.toDF("b2", "back"), "b2").filter("back = b1 and b1 > b2").select(F.col("b1").alias("block"), F.col("b2").alias("into")), "pairs")
-        if not mutual.head(1):
-            break
-        then = materialize(blocks.join(mutual, "block", "left").select("node", F.coalesce("into", "block").alias("block")), "blocks")
+        fitting = pairs.join(sizes.toDF("b1", "s1"), "b1").join(sizes.toDF("b2", "s2"), "b2").filter(F.col("s1") + F.col("s2") <= largest)
+        scored = materialize(fitting.select("b1", "b2", "links", "s1", "s2"), "scored")
+        left = scored.count()
+        if left <= COUPLED:
+            step = materialize(map_arrow(scored.repartition(1), _finish_merging(largest), "block long, into long"), "steps") if left else None
+        else:
+            good = F.round(F.col("links") / F.log(F.col("s1") * F.col("s2") + 1.0), 12)
+            best = scored.withColumn("good", good).groupBy("b1").agg(F.max(F.struct("good", _lot(F.least("b1", "b2"), F.greatest("b1", "b2"), lambda x, p: F.pmod(x, F.lit(p))).alias("lot"), (-F.greatest("b1", "b2")).alias("t"), (-F.least("b1", "b2")).alias("v"), "b2")).alias("x")).select("b1", F.col("x.b2").alias("b2"))
+            step = materialize(best.join(best.toDF("b2", "back"), "b2").filter("back = b1 and b1 > b2").select(F.col("b1").alias("block"), F.col("b2").alias("into")), "steps")
+        drop_written(pairs)
+        if step is None:
+            return blocks
+        of = lambda df, c: df.join(step.toDF(c, "into__"), c, "left").withColumn(c, F.coalesce("into__", c)).drop("into__")
+        then = materialize(of(blocks, "block").select("node", "block"), "blocks")
         drop_written(blocks)
         blocks = then
-    return blocks
+        if left <= COUPLED:
+            return blocks
+        merged = of(of(scored, "b1"), "b2").filter("b1 != b2")
+        pairs = materialize(merged.groupBy("b1", "b2").agg(F.sum("links").alias("links")), "pairs")
+        drop_written(scored)
 
 
 def attach_orphans(nodes: DataFrame, blocks: DataFrame, edges: DataFrame) -> DataFrame:
@@ -419,18 +498,19 @@ def match_names(left: DataFrame, right: DataFrame, least: float = 0.8) -> DataFr
     """``(a, b, likeness)``: a one-to-one matching of names, best first, among the pairs of likeness ``least`` or more.
 
     Greedy by mutual best: in each round every name that is its best partner's best is matched, and taken away, until
-    no pair is left. Names of three and more letters that have no three consecutive ones in common are below -0.8,
-    so others meet at what they share; names of one or two letters meet all.
+    no pair is left. Names of three and more letters that have no three consecutive ones in common are at -0.6 or below,
+    so others meet at what they share; names of one or two letters, or of none but silent ones, meet all.
     """
     a = left.select(F.col(left.columns[0]).alias("a")).distinct()
     b = right.select(F.col(right.columns[0]).alias("b")).distinct()
-    if least <= -0.8:
+    if least <= -0.6:
         pairs = a.crossJoin(b)
     else:
-        size = lambda c: F.length(F.lower(c))
-        grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), size(c) - 2), lambda i: F.substring(F.lower(F.col(c)), i, F.lit(3))))
-        long = lambda df, c: df.filter(size(c) > 2).withColumn("k", F.explode(grams(c)))
-        short = a.filter(size("a") <= 2).crossJoin(b).union(a.crossJoin(b.filter(size("b") <= 2)))
+        bare = lambda c: F.regexp_replace(F.lower(c), "[._ ]", "")
+        few = lambda c: (F.length(c) <= 2) | (bare(c) == "")
+        grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(bare(c)) - 2), lambda i: F.substring(bare(c), i, F.lit(3))))
+        long = lambda df, c: df.filter(~few(c) & (F.length(bare(c)) > 2)).withColumn("k", F.explode(grams(c)))
+        short = a.filter(few("a")).crossJoin(b).union(a.crossJoin(b.filter(few("b"))))
         pairs = long(a, "a").join(long(b, "b"), "k").select("a", "b").union(short).distinct()
     scored = materialize(pairs.withColumn("likeness", F.round(X.isub("a", "b"), 9)).filter(F.col("likeness") >= least), "pairs")
     out = None

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from truthframe.functions.fuzzy import sigmoid
+from truthframe.session import ship
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -75,6 +76,7 @@ class LogicNet:
             for s in batches:
                 yield pd.Series([None if d is None else net.score(d) for d in s], dtype="float64")
 
+        ship()
         return run(dnf)
 
 
@@ -103,6 +105,7 @@ class Recurrent:
             for hs, items in batches:
                 yield pd.Series([float(net.state(h) @ net.items[i]) for h, i in zip(hs, items)], dtype="float64")
 
+        ship()
         return run(history, item)
 
 

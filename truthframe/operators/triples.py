@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from truthframe.functions import text as X
 from truthframe.functions.bodies import body_triples
+from truthframe.session import materialize
 
 #: Heads that declare an entity's kind, and the kinds as objects of ``is`` (fixed values).
 DECLARATIONS = ("Class", "ObjectProperty", "DataProperty", "AnnotationProperty", "Individual", "Datatype", "Ontology")
@@ -91,6 +92,8 @@ def structural_features(triples: DataFrame, by: str = "onto", length: str | None
     flags of the graph. All are distinct rows or aggregates over an ontology's triples; only the 24 first predicates
     make pairs. ``subclass_cycle`` is found for all ontologies together, by taking edges away from the ends.
     """
+    kept = [by, "s", "p", "o"] + ([length] if length else [])
+    triples = materialize(triples.select(*kept), "triples")  # read several times
     t = triples.select(by, X.shorten(F.col("s")).alias("s"), X.shorten(F.col("p")).alias("p"), X.shorten(F.col("o")).alias("o"))
     owl = ("subclassof", "subpropertyof", "equivalentto", "disjointwith", "disjointclasses", "domain", "range", "types")
     ops = X.operators_in(F.col("o"))
@@ -106,7 +109,7 @@ def structural_features(triples: DataFrame, by: str = "onto", length: str | None
         F.flatten(F.transform(ops, lambda x: F.array(F.concat(F.lit("obj_op="), x), F.concat(F.lit("pred_op="), F.col("p"), F.lit("::"), x)))),
         F.flatten(F.transform(tokens, lambda x: F.array(F.concat(F.lit("obj_token="), x), F.concat(F.lit("pred_obj_token="), F.col("p"), F.lit("::"), x)))),
     )
-    rows = t.select(by, F.explode(per_row).alias("feature"))
+    rows = t.select(by, F.explode(per_row).alias("feature")).distinct()  # what else there is comes once by itself
 
     counts = t.groupBy(by).agg(
         F.count("*").alias("triples"),
@@ -152,9 +155,9 @@ def structural_features(triples: DataFrame, by: str = "onto", length: str | None
     for f in flags:
         rows = rows.unionByName(f)
     if length:
-        n = triples.select(by, F.col(length).cast("int").alias("n")).filter("n > 0").distinct()
+        n = triples.groupBy(by).agg(F.max(F.col(length).cast("int")).alias("n")).filter("n > 0")
         rows = rows.unionByName(n.select(by, F.explode(X.bucket_features("tokenized_length", F.col("n"), X.LENGTH_BUCKETS)).alias("feature")))
-    return rows.distinct()
+    return rows
 
 
 def subclass_cycles(triples: DataFrame, by: str = "onto") -> DataFrame:
@@ -268,15 +271,19 @@ def hash_embedding(tokens: DataFrame, by: str, dimensions: int, token: str = "to
 
     Rows of ``source`` without any token get values from the sha-256 of ``fallback`` instead.
     """
-    slots = tokens.select(by, X.hash_slot(F.col(token), dimensions).alias("h")).groupBy(by, "h.index").agg(F.sum("h.weight").alias("v"))
+    counts = tokens.groupBy(by, token).agg(F.count("*").alias("n"))  # a token is hashed once for each key that has it
+    slots = counts.select(by, "n", X.hash_slot(F.col(token), dimensions).alias("h")).groupBy(by, "h.index").agg(F.sum(F.col("n") * F.col("h.weight")).alias("v"))
     if source is not None:
         rest = source.join(tokens.select(by).distinct(), by, "left_anti")
         h = F.sha2(fallback.cast("binary"), 256)
         i = F.explode(F.sequence(F.lit(0), F.lit(dimensions - 1))).alias("index")
         byte = F.conv(F.expr("substring(h, (index % 32) * 2 + 1, 2)"), 16, 10).cast("double")
         slots = slots.unionByName(rest.select(by, h.alias("h"), i).select(by, "index", (byte / 255 * 2 - 1).alias("v")))
-    norms = slots.groupBy(by).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return slots.join(norms, by).select(by, "index", F.when(F.col("norm") > 0, F.col("v") / F.col("norm")).otherwise(0.0).alias("value")).filter("value != 0")
+    # a key's slots in one row, at most one for each dimension
+    vectors = slots.groupBy(by).agg(F.collect_list(F.struct("index", "v")).alias("slots"))
+    norm = F.sqrt(F.aggregate("slots", F.lit(0.0), lambda s, x: s + x["v"] * x["v"]))
+    out = vectors.select(by, norm.alias("norm"), F.explode("slots").alias("x"))
+    return out.filter("x.v != 0").select(by, "x.index", (F.col("x.v") / F.col("norm")).alias("value"))
 
 
 def relative_positions(lengths: DataFrame, by: str, order: str, length: str) -> DataFrame:

@@ -162,7 +162,7 @@ def agglomeration(spark, d):
     """Blocks of customers and suppliers of one nation's trade, at most 50 in each."""
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("src"))
     l = table(spark, d, "lineitem").select("l_orderkey", (-F.col("l_suppkey")).alias("dst"))
-    return O.agglomerate(o.join(l, "l_orderkey").select("src", "dst"), 50, 4)
+    return O.agglomerate(o.join(l, "l_orderkey").select("src", "dst"), 50)
 
 
 @query()

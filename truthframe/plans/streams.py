@@ -48,10 +48,10 @@ def upsert(spark, d):
     return S.upsert(c, fresh.union(fresh.select(F.col("c_custkey") + 1000000, "segment")), ["c_custkey"])
 
 
-@query("SELECT split, consistency, count(*) AS rows, max(tokenized_length) AS most_tokens FROM (SELECT 'train' AS split, consistency, tokenized_length FROM train_data UNION ALL SELECT 'eval', consistency, tokenized_length FROM eval_data) GROUP BY ALL")
+@query("SELECT split, consistency, count(*) AS rows, max(tokenized_length) AS most_tokens FROM (SELECT 'train' AS split, consistency, tokenized_length FROM train_data UNION ALL SELECT 'eval', consistency, tokenized_length FROM eval_data UNION ALL SELECT 'test', consistency, tokenized_length FROM test_data) GROUP BY ALL")
 def split_summary(spark, d):
-    parts = [table(spark, d, f"{n}_data").select(F.lit(n).alias("split"), "consistency", "tokenized_length") for n in ("train", "eval")]
-    return S.split_summary(parts[0].union(parts[1]))
+    parts = [table(spark, d, f"{n}_data").select(F.lit(n).alias("split"), "consistency", "tokenized_length") for n in ("train", "eval", "test")]
+    return S.split_summary(parts[0].union(parts[1]).union(parts[2]))
 
 
 _EVENT = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"

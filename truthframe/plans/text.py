@@ -114,12 +114,12 @@ def local_ids(spark, d):
 
 @query(f"""
 WITH e AS (SELECT onto, e, row_number() OVER (PARTITION BY onto ORDER BY min(a)) + 1 AS id FROM (SELECT onto, s AS e, pos * 2 AS a FROM {_TRIPLES} UNION ALL SELECT onto, o, pos * 2 + 1 FROM {_TRIPLES}) GROUP BY onto, e),
-v AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 1 AS id FROM (SELECT p || '::some' AS token, count(*) AS n FROM {_TRIPLES} GROUP BY 1 HAVING count(*) > 3333))
+v AS (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 1 AS id FROM (SELECT p || '::some' AS token, count(*) AS n FROM {_TRIPLES} GROUP BY 1 ORDER BY n DESC, token LIMIT 2))
 SELECT t.onto, pos, a.id AS s_id, coalesce(v.id, 1) AS p_id, b.id AS o_id FROM {_TRIPLES} t JOIN e a ON a.onto = t.onto AND a.e = t.s JOIN e b ON b.onto = t.onto AND b.e = t.o LEFT JOIN v ON v.token = t.p || '::some'
 """)
 def encode_triples(spark, d):
     t = _event_triples(spark, d)
-    predicates = T.vocabulary(t.select(F.concat("p", F.lit("::some")).alias("token")), least=3334)
+    predicates = T.vocabulary(t.select(F.concat("p", F.lit("::some")).alias("token")), most=2)
     return T.encode_triples(t, predicates)
 
 

@@ -8,10 +8,12 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _LOCAL: dict[str, str] = {}
 _SHIPPED: set[str] = set()
@@ -37,33 +39,45 @@ def get_spark(app: str = "truthframe", master: str | None = None, partitions: in
     return spark
 
 
-def ship(spark: SparkSession) -> None:
-    """Hands this package to the session's Python workers, once, so that they need no copy on their path."""
-    sc = spark.sparkContext
-    at = urlparse(shared_dir(spark))
-    if sc.applicationId in _SHIPPED or at.scheme not in ("", "file"):
+def ship(spark: SparkSession | None = None) -> None:
+    """Hands this package to the session's Python workers, once, so that they need no copy on their path.
+
+    The archive is handed over by the driver itself, wherever tables are kept. Whatever runs Python calls this.
+    """
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext.applicationId in _SHIPPED:
         return
+    sc = spark.sparkContext
     _SHIPPED.add(sc.applicationId)
     package = Path(__file__).resolve().parent
-    Path(at.path).mkdir(parents=True, exist_ok=True)
-    target = Path(at.path, f"{package.name}-{uuid.uuid4().hex}.zip")
+    folder = tempfile.mkdtemp(prefix=f"{package.name}-code-")  # the driver's own; no data
+    atexit.register(shutil.rmtree, folder, True)
+    target = Path(folder, f"{package.name}-{uuid.uuid4().hex}.zip")
     with zipfile.ZipFile(target, "w") as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
     sc.addPyFile(str(target))
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` with this package at hand."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; only where that is unset (tests) one made here."""
+    """The folder named in ``spark.checkpoint.dir``; only where that is unset and all runs on this machine (tests) one made here."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
-    app = spark.sparkContext.applicationId
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master or ""
+    if not master.startswith("local"):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="truthframe-")
         atexit.register(shutil.rmtree, _LOCAL[app], True)
@@ -87,7 +101,11 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     ``drop_written`` deletes what is no longer needed; the rest goes when the process ends.
     """
     spark = df.sparkSession
+    ship(spark)
     path = written_path(spark, name)
+    if not _WRITTEN:  # after the session's own handler was registered, so before it runs
+        atexit.unregister(_clean_up)
+        atexit.register(_clean_up)
     df.write.option("compression", "zstd").parquet(path)
     _WRITTEN.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
@@ -103,9 +121,13 @@ def drop_written(df: DataFrame | None) -> None:
         _WRITTEN[:] = [(s, p) for s, p in _WRITTEN if p != path]
 
 
-@atexit.register
 def _clean_up() -> None:
-    for _, path in _WRITTEN:
-        at = urlparse(path)
-        if at.scheme in ("", "file") and os.path.isdir(at.path):
-            shutil.rmtree(at.path, ignore_errors=True)
+    """Deletes what is left of written tables, on whatever file system, while the session still runs."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        try:
+            _delete(spark, path)
+        except Exception:  # the session has ended
+            at = urlparse(path)
+            if at.scheme in ("", "file"):
+                shutil.rmtree(at.path, ignore_errors=True)

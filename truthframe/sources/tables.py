@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from truthframe.operators.interactions import column_ranges, group_interactions
+from truthframe.session import ship
 
 INTERACTIONS = "uid int, iid int, label int, time long"
 ONTOLOGY = "file_name string, consistency string, tokenized_length int, body string, injected_pattern string"
@@ -155,6 +156,7 @@ def read_rdf_xml(spark: SparkSession, path: str) -> DataFrame:
                     rows = [(name.rsplit("/", 1)[-1], None, None, None, str(e))]
                 yield pd.DataFrame(rows, columns=["file_name", "pos", "s", "p", "o"])
 
+    ship(spark)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file_name string, pos int, s string, p string, o string")
 
 

@@ -21,13 +21,17 @@ def files(spark: SparkSession, path: str, schema: str | StructType, fmt: str = "
     return reader.load(path)
 
 
-def stage(source: DataFrame, transform: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str = "file_name", name: str | None = None) -> StreamingQuery:
+def stage(
+    source: DataFrame, transform: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str = "file_name", name: str | None = None, time: str | None = None, late: str = "1 day"
+) -> StreamingQuery:
     """Transforms what comes, each key once, into a folder of Parquet; restarts go on from the checkpoint and write nothing twice.
 
-    A file that a stage has put out is the next stage's source, so stages chain by folders.
+    With a ``time`` column a key is remembered for ``late`` after it was seen, as long as it may come again, so the state has
+    a bound; without one every key is kept. A file that a stage has put out is the next stage's source, so stages chain by folders.
     """
-    rows = transform(source.dropDuplicates([key]) if key else source)
-    q = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
+    if key:
+        source = source.withWatermark(time, late).dropDuplicatesWithinWatermark([key]) if time else source.dropDuplicates([key])
+    q = transform(source).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
     return (q.queryName(name) if name else q).trigger(availableNow=True).start()
 
 
