@@ -137,6 +137,41 @@ def complete(axioms: DataFrame, pattern: str, strict: bool = False) -> DataFrame
     return out.join(there.alias("y"), same, "left_anti").select("onto", F.lit(pattern).alias("pattern"), "kind", *SLOTS)
 
 
+#: Of which patterns a single axiom can be completed by two, and that axiom's kind with the kind that joins it.
+PAIRED: dict[str, list[tuple[str, str]]] = {"EID": [], "AIO": [("some", "someand")], "OIL": [("only", "only")], "UE": [("only", "some"), ("some", "only")]}
+
+
+def classes_of(axioms: DataFrame) -> DataFrame:
+    """``(onto, c)``: the classes that an ontology's axioms name."""
+    k = F.col("kind")
+    subject = F.when(k.isin("sub", "eq", "dis", "some", "only", "max1", "someand"), F.col("a"))
+    filler = F.when(k.isin("sub", "eq", "dis", "some", "only", "someand", "domain", "range", "type"), F.col("b"))
+    return axioms.select("onto", F.explode(F.array(subject, filler, F.when(k == "someand", F.col("n")))).alias("c")).filter("c is not null").distinct()
+
+
+def complete_two(axioms: DataFrame, pattern: str) -> DataFrame:
+    """``(onto, pattern, kind, a, prop, b, n, dis_a, dis_b)``: pairs of axioms that complete a pattern of which a single one is there.
+
+    The pair is a restriction (for ``EID`` an equivalence) and a disjointness, with the smallest class of the ontology that the
+    axiom there doesn't name. ``EID`` takes the ontology's two smallest classes. Patterns are those of ``PAIRED``.
+    """
+    none = F.lit(None).cast("string")
+    # the three smallest classes: one of them is neither of an axiom's two
+    few = classes_of(axioms).groupBy("onto").agg(F.slice(F.array_sort(F.collect_set("c")), 1, 3).alias("few"))
+    if pattern == "EID":
+        first, second = F.element_at("few", 1), F.element_at("few", 2)
+        return few.filter(F.size("few") > 1).select("onto", F.lit("EID").alias("pattern"), F.lit("eq").alias("kind"), first.alias("a"), none.alias("prop"), second.alias("b"), none.alias("n"), first.alias("dis_a"), second.alias("dis_b"))
+    out = None
+    for there, kind in PAIRED[pattern]:
+        rows = axioms.filter(F.col("kind") == there).select("onto", "a", "prop", "b").distinct().join(few, "onto")
+        third = F.get(F.filter("few", lambda c: (c != F.col("a")) & (c != F.col("b"))), F.lit(0))
+        rows = rows.withColumn("c3", third).filter("c3 is not null")
+        filler, second = (F.col("b"), F.col("c3")) if kind == "someand" else (F.col("c3"), none)
+        one = rows.select("onto", F.lit(pattern).alias("pattern"), F.lit(kind).alias("kind"), "a", "prop", filler.alias("b"), second.alias("n"), F.least("b", "c3").alias("dis_a"), F.greatest("b", "c3").alias("dis_b"))
+        out = one if out is None else out.union(one)
+    return out.distinct()
+
+
 def pick(completions: DataFrame) -> DataFrame:
     """The smallest completion of each ontology and pattern."""
     best = F.min(F.struct("kind", *(F.coalesce(c, F.lit("")).alias(c) for c in SLOTS))).alias("x")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from truthframe.operators import ontology as O
@@ -10,9 +12,9 @@ from truthframe.plans.registry import query
 from truthframe.session import materialize, table
 
 # every part is an axiom of one of 20 ontologies, over eight classes, three properties and nine individuals
-KINDS = ("sub", "sub", "some", "only", "some", "only", "max1", "eq", "dis", "dis", "subprop", "inverse", "domain", "range", "type", "fact", "someand")
+KINDS = ("sub", "sub", "some", "only", "some", "only", "max1", "eq", "dis", "dis", "subprop", "inverse", "domain", "range", "type", "fact", "someand", "someand", "some")
 
-_AXIOMS = f"""(WITH p AS (SELECT p_partkey AS k, {list(KINDS)}[p_partkey % {len(KINDS)} + 1] AS kind, p_partkey * 7 // 5 % 20 AS o, (p_partkey * 13 // 17 + p_size) % 8 AS x, (p_partkey * 31 // 19) % 8 AS y, p_size % 3 AS r, p_partkey % 5 AS z FROM part)
+_AXIOMS = f"""(WITH p AS (SELECT p_partkey AS k, {list(KINDS)}[p_partkey % {len(KINDS)} + 1] AS kind, p_partkey * 7 // 5 % 20 AS o, (p_partkey * 13 // 17 + p_size) % 8 AS x, (p_partkey * 31 // 19) % 8 AS y, p_size % 3 AS r, (p_partkey * 11 // 23) % 8 AS z FROM part)
 SELECT DISTINCT 'O' || o AS onto, kind,
   CASE WHEN kind IN ('subprop', 'inverse') THEN 'R' || r WHEN kind IN ('domain', 'range') THEN NULL WHEN kind IN ('type', 'fact') THEN 'I' || x ELSE 'C' || x END AS a,
   CASE WHEN kind IN ('some', 'only', 'max1', 'domain', 'range', 'fact', 'someand') THEN 'R' || r END AS prop,
@@ -24,7 +26,7 @@ def _axioms(spark, d):
     k, size = F.col("p_partkey"), F.col("p_size")
     kind = F.element_at(F.array(*(F.lit(x) for x in KINDS)), (k % len(KINDS) + 1).cast("int"))
     whole = lambda c: F.floor(c).cast("long")
-    p = table(spark, d, "part").select(kind.alias("kind"), (whole(k * 7 / 5) % 20).alias("o"), ((whole(k * 13 / 17) + size) % 8).alias("x"), (whole(k * 31 / 19) % 8).alias("y"), (size % 3).alias("r"), (k % 5).alias("z"))
+    p = table(spark, d, "part").select(kind.alias("kind"), (whole(k * 7 / 5) % 20).alias("o"), ((whole(k * 13 / 17) + size) % 8).alias("x"), (whole(k * 31 / 19) % 8).alias("y"), (size % 3).alias("r"), (whole(k * 11 / 23) % 8).alias("z"))
     name = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
     kd, c = F.col("kind"), F.col
     a = F.when(kd.isin("subprop", "inverse"), name("R", c("r"))).when(kd.isin("domain", "range"), None).when(kd.isin("type", "fact"), name("I", c("x"))).otherwise(name("C", c("x")))
@@ -36,48 +38,119 @@ def _axioms(spark, d):
 _BOTH = f"ax AS (SELECT onto, kind, a, prop, b, n FROM {_AXIOMS} UNION SELECT onto, kind, b, prop, a, n FROM {_AXIOMS} WHERE kind IN ('eq', 'dis', 'inverse'))"
 
 
-def _from(atoms):
-    """FROM and WHERE of the join of atoms, and where each variable stands."""
-    at, where = {}, []
-    for i, (kind, *slots) in enumerate(atoms):
-        where.append(f"t{i}.kind = '{kind}' AND t{i}.onto = t0.onto")
-        for s, v in zip(P.SLOTS, slots):
-            if v and v in at:
-                where.append(f"t{i}.{s} = {at[v]}")
-            elif v:
-                at[v] = f"t{i}.{s}"
-    return "FROM " + ", ".join(f"ax t{i}" for i in range(len(atoms))), where, at
-
-
-def _differ(all_atoms, at):
-    return [f"{at[a]} <> {at[b]}" for kind, a, _, b, _ in all_atoms if kind in ("dis", "eq", "sub") and a in at and b in at]
-
+# where the columns of a kind's axioms go, for SQL written as kind(names)
+_COLUMNS = {"sub": "a b", "eq": "a b", "dis": "a b", "some": "a prop b", "only": "a prop b", "someand": "a prop b n", "max1": "a prop", "subprop": "a b", "inverse": "a b", "domain": "prop b", "range": "prop b", "type": "a b", "fact": "a prop b"}
 
-def _detect_sql(atoms):
-    source, where, at = _from(atoms)
-    return f"WITH {_BOTH} SELECT DISTINCT t0.onto, {', '.join(f'{x} AS {v}' for v, x in at.items())} {source} WHERE " + " AND ".join(where + _differ(atoms, at))
 
-
-def _complete_sql(name, atoms):
+def _join(text):
+    """FROM clause of a text such as ``only(c1, r, c2), dis(c2, c3)``: axioms of each kind, joined on equal names."""
+    parts = []
+    for kind, names in re.findall(r"(\w+)\(([^)]*)\)", text):
+        columns = ", ".join(f"{c} AS {n.strip()}" for c, n in zip(_COLUMNS[kind].split(), names.split(","), strict=True))
+        parts.append(f"(SELECT DISTINCT onto, {columns} FROM ax WHERE kind = '{kind}')")
+    return " NATURAL JOIN ".join(parts)
+
+
+# each pattern whole: its axioms, and what must differ
+_WHOLE = {
+    "EID": ("eq(c1, c2), dis(c1, c2)", "c1 <> c2"),
+    "AIO": ("some(c1, r, c2), someand(c1, r, c2, c3), dis(c2, c3)", "c2 <> c3"),
+    "OIL": ("only(c1, r, c2), only(c1, r, c3), dis(c2, c3)", "c2 <> c3"),
+    "OILWI": ("sub(c1, c2), only(c1, r, c3), only(c2, r, c4), dis(c3, c4)", "c1 <> c2 AND c3 <> c4"),
+    "OILWPI": ("subprop(r1, r2), only(c1, r1, c2), only(c1, r2, c3), dis(c2, c3)", "c2 <> c3"),
+    "UE": ("only(c1, r, c2), some(c1, r, c3), dis(c2, c3)", "c2 <> c3"),
+    "UEWI1": ("sub(c1, c2), some(c1, r, c3), only(c2, r, c4), dis(c3, c4)", "c1 <> c2 AND c3 <> c4"),
+    "UEWI2": ("sub(c1, c2), some(c2, r, c3), only(c1, r, c4), dis(c3, c4)", "c1 <> c2 AND c3 <> c4"),
+    "UEWPI": ("subprop(r1, r2), some(c1, r1, c2), only(c1, r2, c3), dis(c2, c3)", "c2 <> c3"),
+    "UEWIP": ("some(c2, r1, c1), inverse(r1, r2), only(c1, r2, c3), dis(c2, c3)", "c2 <> c3"),
+    "SOSINETO": ("some(c1, r, c2), some(c1, r, c3), max1(c1, r), dis(c2, c3)", "c2 <> c3"),
+    "CSC": ("sub(c1, c3), sub(c3, c2), sub(c2, c1)", "c1 <> c2 AND c2 <> c3 AND c1 <> c3"),
+    "OOD": ("domain(p, c1), fact(i, p, j), type(i, c2), dis(c1, c2)", "c1 <> c2"),
+    "OOR": ("range(p, c1), fact(i, p, j), type(j, c2), dis(c1, c2)", "c1 <> c2"),
+}
+
+# each pattern but for one axiom: that axiom (kind, a, prop, b, n), what is there, and what must differ
+_BUT_ONE = {
+    "EID": [("eq c1 - c2 -", "dis(c1, c2)", "c1 <> c2"), ("dis c1 - c2 -", "eq(c1, c2)", "c1 <> c2")],
+    "AIO": [("some c1 r c2 -", "someand(c1, r, c2, c3), dis(c2, c3)", "c2 <> c3"), ("someand c1 r c2 c3", "some(c1, r, c2), dis(c2, c3)", "c2 <> c3"), ("dis c2 - c3 -", "some(c1, r, c2), someand(c1, r, c2, c3)", "c2 <> c3")],
+    "OIL": [("only c1 r c2 -", "only(c1, r, c3), dis(c2, c3)", "c2 <> c3"), ("dis c2 - c3 -", "only(c1, r, c2), only(c1, r, c3)", "c2 <> c3")],
+    "OILWI": [
+        ("sub c1 - c2 -", "only(c1, r, c3), dis(c3, c4), only(c2, r, c4)", "c1 <> c2 AND c3 <> c4"), ("only c1 r c3 -", "sub(c1, c2), only(c2, r, c4), dis(c3, c4)", "c1 <> c2 AND c3 <> c4"),
+        ("only c2 r c4 -", "sub(c1, c2), only(c1, r, c3), dis(c3, c4)", "c1 <> c2 AND c3 <> c4"), ("dis c3 - c4 -", "sub(c1, c2), only(c1, r, c3), only(c2, r, c4)", "c1 <> c2 AND c3 <> c4"),
+    ],
+    "OILWPI": [
+        ("subprop r1 - r2 -", "only(c1, r1, c2), dis(c2, c3), only(c1, r2, c3)", "c2 <> c3"), ("only c1 r1 c2 -", "subprop(r1, r2), only(c1, r2, c3), dis(c2, c3)", "c2 <> c3"),
+        ("only c1 r2 c3 -", "subprop(r1, r2), only(c1, r1, c2), dis(c2, c3)", "c2 <> c3"), ("dis c2 - c3 -", "subprop(r1, r2), only(c1, r1, c2), only(c1, r2, c3)", "c2 <> c3"),
+    ],
+    "UE": [("only c1 r c2 -", "some(c1, r, c3), dis(c2, c3)", "c2 <> c3"), ("some c1 r c3 -", "only(c1, r, c2), dis(c2, c3)", "c2 <> c3"), ("dis c2 - c3 -", "only(c1, r, c2), some(c1, r, c3)", "c2 <> c3")],
+    "UEWI1": [
+        ("sub c1 - c2 -", "some(c1, r, c3), dis(c3, c4), only(c2, r, c4)", "c1 <> c2 AND c3 <> c4"), ("some c1 r c3 -", "sub(c1, c2), only(c2, r, c4), dis(c3, c4)", "c1 <> c2 AND c3 <> c4"),
+        ("only c2 r c4 -", "sub(c1, c2), some(c1, r, c3), dis(c3, c4)", "c1 <> c2 AND c3 <> c4"), ("dis c3 - c4 -", "sub(c1, c2), some(c1, r, c3), only(c2, r, c4)", "c1 <> c2 AND c3 <> c4"),
+    ],
+    "UEWI2": [
+        ("sub c1 - c2 -", "only(c1, r, c4), dis(c3, c4), some(c2, r, c3)", "c1 <> c2 AND c3 <> c4"), ("some c2 r c3 -", "sub(c1, c2), only(c1, r, c4), dis(c3, c4)", "c1 <> c2 AND c3 <> c4"),
+        ("only c1 r c4 -", "sub(c1, c2), some(c2, r, c3), dis(c3, c4)", "c1 <> c2 AND c3 <> c4"), ("dis c3 - c4 -", "sub(c1, c2), some(c2, r, c3), only(c1, r, c4)", "c1 <> c2 AND c3 <> c4"),
+    ],
+    "UEWPI": [
+        ("subprop r1 - r2 -", "some(c1, r1, c2), dis(c2, c3), only(c1, r2, c3)", "c2 <> c3"), ("some c1 r1 c2 -", "subprop(r1, r2), only(c1, r2, c3), dis(c2, c3)", "c2 <> c3"),
+        ("only c1 r2 c3 -", "subprop(r1, r2), some(c1, r1, c2), dis(c2, c3)", "c2 <> c3"), ("dis c2 - c3 -", "subprop(r1, r2), some(c1, r1, c2), only(c1, r2, c3)", "c2 <> c3"),
+    ],
+    "UEWIP": [
+        ("some c2 r1 c1 -", "inverse(r1, r2), only(c1, r2, c3), dis(c2, c3)", "c2 <> c3"), ("only c1 r2 c3 -", "some(c2, r1, c1), inverse(r1, r2), dis(c2, c3)", "c2 <> c3"),
+        ("inverse r1 - r2 -", "some(c2, r1, c1), dis(c2, c3), only(c1, r2, c3)", "c2 <> c3"), ("dis c2 - c3 -", "some(c2, r1, c1), inverse(r1, r2), only(c1, r2, c3)", "c2 <> c3"),
+    ],
+    "SOSINETO": [
+        ("some c1 r c2 -", "some(c1, r, c3), max1(c1, r), dis(c2, c3)", "c2 <> c3"), ("max1 c1 r - -", "some(c1, r, c2), some(c1, r, c3), dis(c2, c3)", "c2 <> c3"),
+        ("dis c2 - c3 -", "some(c1, r, c2), some(c1, r, c3), max1(c1, r)", "c2 <> c3"),
+    ],
+    "CSC": [("sub c1 - c3 -", "sub(c3, c2), sub(c2, c1)", "c1 <> c2 AND c2 <> c3 AND c1 <> c3")],
+    "OOD": [("domain - p c1 -", "fact(i, p, j), type(i, c2), dis(c1, c2)", "c1 <> c2"), ("type i - c2 -", "domain(p, c1), fact(i, p, j), dis(c1, c2)", "c1 <> c2"), ("dis c1 - c2 -", "domain(p, c1), fact(i, p, j), type(i, c2)", "c1 <> c2")],
+    "OOR": [("range - p c1 -", "fact(i, p, j), type(j, c2), dis(c1, c2)", "c1 <> c2"), ("type j - c2 -", "range(p, c1), fact(i, p, j), dis(c1, c2)", "c1 <> c2"), ("dis c1 - c2 -", "range(p, c1), fact(i, p, j), type(j, c2)", "c1 <> c2")],
+}
+
+# both ends of an assertion the other way round
+_WHOLE_STRICT = {
+    "OOD": ("domain(p, c1), fact(i, p, j), type(j, c2), dis(c1, c2)", "c1 <> c2"),
+    "OOR": ("range(p, c1), fact(i, p, j), type(i, c2), dis(c1, c2)", "c1 <> c2"),
+}
+
+# one axiom of a pattern alone, and the restriction that completes it together with a disjointness of c2 and any third class c3
+_ALONE = {"AIO": [("some(c1, r, c2)", "'someand', c1, r, c2, c3")], "OIL": [("only(c1, r, c2)", "'only', c1, r, c3, NULL")], "UE": [("only(c1, r, c2)", "'some', c1, r, c3, NULL"), ("some(c1, r, c2)", "'only', c1, r, c3, NULL")]}
+_CLASSES = "cls AS (SELECT DISTINCT onto, c FROM (SELECT onto, a AS c FROM ax WHERE kind IN ('sub', 'eq', 'dis', 'some', 'only', 'max1', 'someand') UNION SELECT onto, b FROM ax WHERE kind IN ('sub', 'eq', 'dis', 'some', 'only', 'someand', 'domain', 'range', 'type') UNION SELECT onto, n FROM ax WHERE kind = 'someand'))"
+
+
+def _whole_sql(source, differ):
+    return f"WITH {_BOTH} SELECT DISTINCT * FROM {_join(source)} WHERE {differ}"
+
+
+def _but_one_sql(name):
     parts = []
-    for i, (kind, *slots) in enumerate(atoms):
-        source, where, at = _from(atoms[:i] + atoms[i + 1 :])
-        if any(v not in at for v in slots if v):
-            continue
-        cols = {s: at[v] if v else "NULL::VARCHAR" for s, v in zip(P.SLOTS, slots)}
-        if kind in P.SYMMETRIC:
-            cols["a"], cols["b"] = f"least({cols['a']}, {cols['b']})", f"greatest({cols['a']}, {cols['b']})"
-        parts.append(f"SELECT t0.onto, '{kind}' AS kind, {', '.join(f'{x} AS {s}' for s, x in cols.items())} {source} WHERE " + " AND ".join(where + _differ(atoms, at)))
+    for axiom, source, differ in _BUT_ONE[name]:
+        kind, a, prop, b, n = ("NULL::VARCHAR" if x == "-" else x for x in axiom.split())
+        if kind in ("eq", "dis", "inverse"):
+            a, b = f"least({a}, {b})", f"greatest({a}, {b})"
+        parts.append(f"SELECT onto, '{kind}' AS kind, {a} AS a, {prop} AS prop, {b} AS b, {n} AS n FROM {_join(source)} WHERE {differ}")
     return f"WITH {_BOTH} SELECT onto, '{name}' AS pattern, kind, a, prop, b, n FROM ({' UNION '.join(parts)} EXCEPT SELECT * FROM ax)"
 
 
+def _but_two_sql(name):
+    if name == "EID":
+        return f"""WITH {_BOTH}, {_CLASSES}, two AS (SELECT onto, list_sort(list(c))[1:2] AS c FROM cls GROUP BY onto HAVING count(*) > 1)
+SELECT onto, 'EID' AS pattern, 'eq' AS kind, c[1] AS a, NULL::VARCHAR AS prop, c[2] AS b, NULL::VARCHAR AS n, c[1] AS dis_a, c[2] AS dis_b FROM two"""
+    parts = [f"SELECT onto, {new}, least(c2, c3), greatest(c2, c3) FROM (SELECT t.onto, c1, r, c2, min(c) AS c3 FROM {_join(alone)} t JOIN cls ON cls.onto = t.onto AND c <> c1 AND c <> c2 GROUP BY ALL)" for alone, new in _ALONE[name]]
+    return f"WITH {_BOTH}, {_CLASSES} SELECT x0 AS onto, '{name}' AS pattern, x1 AS kind, x2 AS a, x3 AS prop, x4 AS b, x5 AS n, x6 AS dis_a, x7 AS dis_b FROM ({' UNION '.join(parts)}) AS t(x0, x1, x2, x3, x4, x5, x6, x7)"
+
+
 def _register(name):
-    atoms = P.PATTERNS[name]
-    query(_detect_sql(atoms), f"pattern_{name.lower()}")(lambda spark, d: P.detect(_axioms(spark, d), name))
-    query(_complete_sql(name, atoms), f"complete_{name.lower()}")(lambda spark, d: P.complete(_axioms(spark, d), name))
+    query(_whole_sql(*_WHOLE[name]), f"pattern_{name.lower()}")(lambda spark, d: P.detect(_axioms(spark, d), name))
+    query(_but_one_sql(name), f"complete_{name.lower()}")(lambda spark, d: P.complete(_axioms(spark, d), name))
+    if name in _WHOLE_STRICT:
+        query(_whole_sql(*_WHOLE_STRICT[name]), f"pattern_{name.lower()}_strict")(lambda spark, d: P.detect(_axioms(spark, d), name, strict=True))
+    if name in P.PAIRED:
+        query(_but_two_sql(name), f"complete_two_{name.lower()}")(lambda spark, d: P.complete_two(_axioms(spark, d), name))
 
 
-for _name in P.PATTERNS:
+for _name in _WHOLE:
     _register(_name)
 
 
