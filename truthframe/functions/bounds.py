@@ -10,7 +10,7 @@ import math
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Bounds = tuple[Column, Column]
@@ -61,6 +61,12 @@ def or_up(operands: Sequence[Bounds], weights: Sequence[float] | None = None, bi
     return tuple(clamp(F.lit(1.0 - bias) + _sum(x[side] * w for x, w in pairs)) for side in (0, 1))
 
 
+def or_up_plain(operands: Sequence[Bounds], weights: Sequence[float] | None = None, bias: float = 1.0) -> Bounds:
+    """The disjunction with its weights as they are, negative ones too."""
+    pairs = list(zip(operands, _weights(len(operands), weights)))
+    return tuple(clamp(F.lit(1.0 - bias) + _sum(x[side] * w for x, w in pairs)) for side in (0, 1))
+
+
 def implies_up(x: Bounds, y: Bounds, weights: Sequence[float] | None = None, bias: float = 1.0) -> Bounds:
     return or_up([not_(x), y], weights, bias)
 
@@ -163,3 +169,11 @@ def logical_loss(weights: Sequence[float], bias: float, alpha: float = ALPHA) ->
     """How far a neuron is from behaving classically: its weights should reach alpha, its bias not exceed them."""
     slack = sum(max(0.0, alpha - w) for w in weights)
     return slack + max(0.0, bias - (1 - alpha + min(weights, default=0.0) * alpha) - 1)
+
+
+def truth_table(spark: SparkSession, names: Sequence[str], states: Sequence[float] = (0.0, 1.0)) -> DataFrame:
+    """Every combination of the states, a column for each name; ``len(states) ** len(names)`` rows by definition."""
+    out = spark.range(1, numPartitions=1).select()
+    for name in names:
+        out = out.select("*", F.explode(F.array(*(F.lit(float(x)) for x in states))).alias(name))
+    return out

@@ -13,10 +13,14 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from truthframe.functions import bounds as B
-from truthframe.operators.relation import Const, Relation, exists_down, exists_up, forall_down, forall_up, gather, groundings_of, merge, unique_variables
-from truthframe.session import drop_written, materialize
+from truthframe.operators.relation import (
+    Const, Relation, exists_down, exists_up, exists_up_grounded, forall_down, forall_up, forall_up_grounded, gather, groundings_of, merge, unique_variables,
+)
+from truthframe.session import drop_written, materialize, settle
 
 CONVERGED = 1e-7
+#: Rows up to which a relation is kept on the driver, as part of the plans that use it; larger ones are written.
+SMALL = 10_000
 
 
 class Variable(str):
@@ -172,24 +176,28 @@ def XOr(*operands: Formula, world: str = "OPEN") -> Formula:  # noqa: N802
 
 
 class Quantifier(Formula):
-    def __init__(self, *bound_then_formula, world: str = "OPEN"):
+    """``fully_grounded`` says that all individuals are known, so that an open formula's group proves both bounds."""
+
+    def __init__(self, *bound_then_formula, world: str = "OPEN", fully_grounded: bool = False):
         *bound, inner = bound_then_formula
         bound = bound or list(inner.variables)
         if not set(bound) <= set(inner.variables):
             raise ValueError("quantified variables must occur in the formula")
-        self.operands, self.bound, self.world = [inner], list(bound), world
+        self.operands, self.bound, self.world, self.fully_grounded = [inner], list(bound), world, fully_grounded
+        if fully_grounded:
+            self.up, self.side = self.up_grounded, "both"
         self.variables = [v for v in inner.variables if v not in bound]
 
     def key(self) -> tuple:
-        return (type(self).__name__, self.world, tuple(self.bound), self.operands[0].key())
+        return (type(self).__name__, self.world, self.fully_grounded, tuple(self.bound), self.operands[0].key())
 
 
 class Forall(Quantifier):
-    up, down, side = staticmethod(forall_up), staticmethod(forall_down), "upper"
+    up, up_grounded, down, side = staticmethod(forall_up), staticmethod(forall_up_grounded), staticmethod(forall_down), "upper"
 
 
 class Exists(Quantifier):
-    up, down, side = staticmethod(exists_up), staticmethod(exists_down), "lower"
+    up, up_grounded, down, side = staticmethod(exists_up), staticmethod(exists_up_grounded), staticmethod(exists_down), "lower"
 
 
 class Theory:
@@ -203,6 +211,7 @@ class Theory:
         self.nodes: dict[tuple, Formula] = {}
         self.roots: list[tuple] = []
         self.query: Formula | None = None
+        self.only: DataFrame | None = None
         self._version: dict[object, int] = {}
         self._seen: dict[tuple, tuple] = {}
         self.add(*formulas)
@@ -270,11 +279,17 @@ class Theory:
         old = rel.df.select(*rel.keys, F.col("l").alias("ol"), F.col("u").alias("ou"))
         both = then.df.join(old, rel.keys, "left") if rel.keys else then.df.crossJoin(old)
         moved = F.abs(F.col("l") - F.coalesce("ol", F.lit(low))) + F.abs(F.col("u") - F.coalesce("ou", F.lit(high)))
-        # the change is summed up while the relation is written
-        seen = Observation()
-        counted = both.select(*rel.keys, "l", "u", moved.alias("moved")).observe(seen, F.coalesce(F.sum("moved"), F.lit(0.0)).alias("change"), F.count("*").alias("rows"))
-        out = materialize(counted, "relation")
-        change, rows = seen.get["change"], seen.get["rows"]
+        # the change is summed up while the relation is written; a small one is kept with the plan
+        counted = both.select(*rel.keys, "l", "u", moved.alias("moved"))
+        out, head = settle(counted, "relation") if getattr(rel, "_rows", 0) <= SMALL else (None, None)
+        if head is not None:
+            change, rows = sum(head.column("moved").to_pylist()), head.num_rows
+        elif out is not None:  # it has just outgrown the driver's share
+            change, rows = out.agg(F.coalesce(F.sum("moved"), F.lit(0.0)), F.count("*")).first()
+        else:
+            seen = Observation()
+            out = materialize(counted.observe(seen, F.coalesce(F.sum("moved"), F.lit(0.0)).alias("change"), F.count("*").alias("rows")), "relation")
+            change, rows = seen.get["change"], seen.get["rows"]
         if change or rows != getattr(rel, "_rows", None):  # a new grounding may make others new, whatever its bounds
             self._version[self._name(f)] = self._version.get(self._name(f), 0) + 1
         drop_written(getattr(rel, "_table", None))
@@ -288,9 +303,11 @@ class Theory:
 
     def _bounds(self, f: Connective, extra: DataFrame | None = None) -> DataFrame:
         calls = [self._call(o) for o in f.operands]
-        found = groundings_of(calls, self.natural) if f.variables else self.spark.createDataFrame([(1,)], "one int").select()
+        found = groundings_of(calls, self.natural) if f.variables else self.spark.range(1, numPartitions=1).select()
         if extra is not None and f.variables:
             found = found.select(*f.variables).unionByName(extra.select(*f.variables)).distinct()
+        if self.only is not None and (shared := [v for v in f.variables if v in self.only.columns]):
+            found = found.join(self.only.select(*shared).distinct(), shared, "left_semi")
         out = gather(found, calls, [o.world for o in f.operands])
         # operands in contradiction prove nothing
         for i in range(len(f.operands)):
@@ -322,7 +339,7 @@ class Theory:
         both = both.withColumns({"wl": F.coalesce("wl", F.lit(low)), "wu": F.coalesce("wu", F.lit(high))})
         xs = [(F.col(f"l{i}"), F.col(f"u{i}")) for i in range(len(f.operands))]
         proofs = f.down((F.col("wl"), F.col("wu")), xs)
-        both = materialize(both, "bounds")  # all operands are proved from the same bounds
+        both, _ = settle(both, "bounds", SMALL)  # all operands are proved from the same bounds
         change = 0.0
         for o, (l, u) in zip(f.operands, proofs):
             change += self._update(o, merge(both.select(*o.variables, l.alias("l"), u.alias("u")), o.variables))
@@ -352,11 +369,15 @@ class Theory:
             return False
         return bool(self.relation(self.query).states().agg(F.coalesce(F.count_if(F.col("state").isin("T", "F")) == F.count("*"), F.lit(False)) & (F.count("*") > 0)).first()[0])
 
-    def infer(self, direction: str | None = None, source: Formula | None = None, max_steps: int = 50) -> tuple[int, float]:
+    def infer(self, direction: str | None = None, source: Formula | None = None, max_steps: int = 50, groundings: DataFrame | None = None) -> tuple[int, float]:
         """Passes upward and downward until bounds change by less than ``CONVERGED`` in all; returns the passes and the total change.
 
         A single ``direction`` is one pass. With a query set, inference ends when all its groundings are true or false.
+        With ``groundings``, columns named after variables, connectives are evaluated only for those that it has.
         """
+        self.only = groundings
+        if groundings is not None:
+            self._seen.clear()
         order, total = self._order(source), 0.0
         if direction:
             step = self.upward if direction == "up" else self.downward

@@ -18,6 +18,11 @@ def drop_negatives(df: DataFrame, label: str = "label") -> DataFrame:
     return df.filter(F.col(label) > 0)
 
 
+def drop_first(df: DataFrame, history_col: str = "history") -> DataFrame:
+    """Without rows whose history is empty or null."""
+    return df.filter(F.size(history_col) > 0)
+
+
 def dedupe_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each key in the given order, which should be total. Rows are cut to the smallest on the map side."""
     rest = [c for c in df.columns if c not in keys and c not in order]

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from truthframe.session import materialize
@@ -194,6 +194,13 @@ def inject(axioms: DataFrame, patterns: Sequence[str], passes: int = 3) -> DataF
     return out if out is not None else axioms.sparkSession.createDataFrame([], "onto string, pattern string, kind string, a string, prop string, b string, n string, pass int")
 
 
+def seed_axioms(spark: SparkSession, pattern: str, onto: str = "seed") -> DataFrame:
+    """Axioms of a pattern but for its last one, over names of their own, so that ``complete`` can finish it: what an ontology without any of them needs first."""
+    name = lambda v: v and f"Seed{pattern}{v.capitalize()}"
+    rows = [(onto, kind, *map(name, slots)) for kind, *slots in PATTERNS[pattern][:-1]]
+    return spark.createDataFrame(rows, "onto string, kind string, a string, prop string, b string, n string")
+
+
 def profile(axioms: DataFrame) -> DataFrame:
     """Axioms of each kind in an ontology."""
     kinds = sorted({a[0] for atoms in PATTERNS.values() for a in atoms})

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from truthframe.functions import bounds as B
+from truthframe.session import local_frame
 
 
 class Relation:
@@ -27,7 +28,7 @@ class Relation:
     def from_facts(cls, spark: SparkSession, keys: Sequence[str], facts: Mapping, world: str = "OPEN") -> Relation:
         """``facts``: grounding (a string or tuple) -> True, False, a fact's name or a pair of bounds."""
         schema = ", ".join([*(f"{k} string" for k in keys), "l double", "u double"])
-        return cls(spark.createDataFrame([(*_grounding(g), *_bounds(v)) for g, v in facts.items()], schema), keys, world)
+        return cls(local_frame(spark, [(*_grounding(g), *_bounds(v)) for g, v in facts.items()], schema), keys, world)
 
     def _with(self, df: DataFrame, leaves: DataFrame | None = None) -> Relation:
         return Relation(df, self.keys, self.world, self.leaves if leaves is None else leaves)

@@ -68,6 +68,34 @@ class LogicNet:
         norms = np.linalg.norm(vector) * np.linalg.norm(self.true)
         return float(1 / (1 + np.exp(-self.sharpness * (vector @ self.true) / norms))) if norms else 0.5
 
+    def regularisers(self, vectors: np.ndarray) -> dict[str, float]:
+        """How far the networks are from the laws of logic, each summed over the vectors: 0 where a law holds. ``length`` is the sum of the vectors' lengths."""
+        true = np.broadcast_to(self.true, vectors.shape)
+        no = lambda x: self._net("not", x)
+        two = lambda name, x, y: self._net(name, np.concatenate([x, y], axis=-1))
+        false, inverse = no(true), no(vectors)
+        like = lambda x, y: self._likeness(x, y).sum()
+        unlike = lambda x, y: (1 - self._likeness(x, y)).sum()
+        return {
+            "length": float(np.linalg.norm(vectors, axis=-1).sum()),
+            "not_true": float(self._likeness(false[:1], true[:1]).sum()),
+            "not_self": float(like(inverse, vectors)),
+            "not_not_self": float(unlike(no(inverse), vectors)),
+            "and_true": float(unlike(two("and", vectors, true), vectors)),
+            "and_false": float(unlike(two("and", vectors, false), false)),
+            "and_self": float(unlike(two("and", vectors, vectors), vectors)),
+            "and_not_self": float(unlike(two("and", vectors, inverse), false)),
+            "or_true": float(unlike(two("or", vectors, true), true)),
+            "or_false": float(unlike(two("or", vectors, false), vectors)),
+            "or_self": float(unlike(two("or", vectors, vectors), vectors)),
+            "or_not_self": float(unlike(two("or", vectors, inverse), true)),
+        }
+
+    def _likeness(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        norms = np.linalg.norm(x, axis=-1) * np.linalg.norm(y, axis=-1)
+        cosine = np.divide((x * y).sum(axis=-1), norms, out=np.zeros_like(norms), where=norms > 0)
+        return 1 / (1 + np.exp(-self.sharpness * cosine))
+
     def column(self, dnf: Column) -> Column:
         net = self
 

@@ -248,6 +248,14 @@ def local_ids(triples: DataFrame, by: str = "onto", most: int | None = None, fir
     return first.withColumn("local_id", ids if most is None else F.when(nth <= most, ids).otherwise(1)).select(by, "entity", "local_id")
 
 
+def entity_overflow(triples: DataFrame, most: int, by: str = "onto") -> DataFrame:
+    """``(onto, entities, overflow, unknown_ends)``: an ontology's entities, those beyond ``most``, and the ends of triples that these stand at."""
+    ids = local_ids(triples, by, most)
+    ends = triples.select(by, F.explode(F.array("s", "o")).alias("entity")).join(ids.filter("local_id = 1"), [by, "entity"]).groupBy(by).agg(F.count("*").alias("unknown_ends"))
+    counts = ids.groupBy(by).agg(F.count("*").alias("entities"), F.count_if(F.col("local_id") == 1).alias("overflow"))
+    return counts.join(ends, by, "left").fillna(0, ["unknown_ends"])
+
+
 def encode_triples(triples: DataFrame, predicates: DataFrame, by: str = "onto", most: int | None = None) -> DataFrame:
     """``(onto, pos, s_id, p_id, o_id)`` with local entity ids and a vocabulary of predicates (token, id); unknown predicates are 1.
 

@@ -8,11 +8,13 @@ import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 _LOCAL: dict[str, str] = {}
@@ -113,6 +115,22 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return out
 
 
+def local_frame(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A few rows as part of the plan itself, without a task for each core."""
+    kinds = StructType.fromDDL(schema)
+    columns = list(zip(*rows)) or [()] * len(kinds)
+    arrays = [pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, kinds)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=kinds.names), kinds)
+
+
+def settle(df: DataFrame, name: str = "stage", small: int = 10_000) -> tuple[DataFrame, pa.Table | None]:
+    """Cuts the lineage of a frame that is likely to be small: up to ``small`` rows become part of the plan, and are returned beside it; more are written."""
+    head = df.limit(small + 1).toArrow()  # no more than that reaches the driver
+    if head.num_rows > small:
+        return materialize(df, name), None
+    return df.sparkSession.createDataFrame(head, df.schema), head
+
+
 def drop_written(df: DataFrame | None) -> None:
     """Deletes the table behind a frame made by ``materialize``; any other frame is left alone."""
     path = getattr(df, "_written_path", None)

@@ -187,3 +187,14 @@ def join_embeddings(rows: DataFrame, vectors: DataFrame, key: str = "file_name")
     v = vectors.select(F.col("stem"), F.col("embedding"))
     both = rows.withColumns({"s__": stem, "b__": bare}).join(v.toDF("s__", "e1"), "s__", "left").join(v.toDF("b__", "e2"), "b__", "left")
     return both.withColumn("embedding", F.coalesce("e1", "e2")).filter("embedding is not null").drop("s__", "b__", "e1", "e2")
+
+
+def write_embeddings(vectors: DataFrame, path: str, key: str = "stem") -> DataFrame:
+    """Adds the vectors ``(stem, embedding)`` whose key isn't stored yet, and returns all that are stored then."""
+    spark = vectors.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fresh = vectors.select(key, F.col("embedding").cast("array<float>").alias("embedding")).dropDuplicates([key])
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti")
+    fresh.write.mode("append").parquet(path)
+    return spark.read.parquet(path)
