@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from truthframe.session import materialize
+from truthframe.session import local_frame, materialize
 
 SLOTS = ("a", "prop", "b", "n")
 Atom = tuple[str, str | None, str | None, str | None, str | None]
@@ -198,7 +198,7 @@ def seed_axioms(spark: SparkSession, pattern: str, onto: str = "seed") -> DataFr
     """Axioms of a pattern but for its last one, over names of their own, so that ``complete`` can finish it: what an ontology without any of them needs first."""
     name = lambda v: v and f"Seed{pattern}{v.capitalize()}"
     rows = [(onto, kind, *map(name, slots)) for kind, *slots in PATTERNS[pattern][:-1]]
-    return spark.createDataFrame(rows, "onto string, kind string, a string, prop string, b string, n string")
+    return local_frame(spark, rows, "onto string, kind string, a string, prop string, b string, n string")
 
 
 def profile(axioms: DataFrame) -> DataFrame:

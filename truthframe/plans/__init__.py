@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("logic", "reasoning", "graphs", "interactions", "text", "ontology", "streams")
+_MODULES = ("logic", "reasoning", "graphs", "interactions", "text", "ontology", "modules", "streams", "files")
 
 
 def _load() -> None:

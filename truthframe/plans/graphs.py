@@ -270,3 +270,48 @@ def rule_fixpoint(spark, d):
     theory.add_data({edge: table(spark, d, "region").select(k.cast("string").alias("g0"), F.floor(k / 2).cast("string").alias("g1"), F.lit(1.0).alias("l"), F.lit(1.0).alias("u"))})
     theory.infer(max_steps=30)
     return theory.relation(path).true_groundings().toDF("x", "y")
+
+
+@query(f"SELECT src, dst FROM {_EDGES} UNION SELECT dst, src FROM {_EDGES}")
+def undirected(spark, d):
+    return G.undirected(_edges(spark, d))
+
+
+@query("SELECT a.n_regionkey, a.n_nationkey AS x, b.n_nationkey AS y, a.n_nationkey < b.n_nationkey AS position_lt, a.n_nationkey = b.n_nationkey AS position_eq, a.n_nationkey > b.n_nationkey AS position_gt, a.n_nationkey * 7 % 25 < b.n_nationkey * 7 % 25 AS value_lt, a.n_nationkey * 7 % 25 = b.n_nationkey * 7 % 25 AS value_eq, a.n_nationkey * 7 % 25 > b.n_nationkey * 7 % 25 AS value_gt FROM nation a JOIN nation b USING (n_regionkey)")
+def sort_state(spark, d):
+    n = table(spark, d, "nation").select("n_regionkey", "n_nationkey", (F.col("n_nationkey") * 7 % 25).alias("v"))
+    return G.sort_state(n, "n_nationkey", "v", ["n_regionkey"])
+
+
+_BLOCKS = "(SELECT 1 AS world, n_nationkey + 1 AS block, CASE WHEN n_nationkey >= 10 THEN n_nationkey - 9 ELSE 0 END AS under FROM nation)"
+
+
+def _blocks(spark, d):
+    n = F.col("n_nationkey")
+    return table(spark, d, "nation").select(F.lit(1).alias("world"), (n + 1).alias("block"), F.when(n >= 10, n - 9).otherwise(0).alias("under"))
+
+
+@query(f"SELECT world, block FROM {_BLOCKS} WHERE block NOT IN (SELECT under FROM {_BLOCKS})")
+def blocks_clear(spark, d):
+    return G.clear_blocks(_blocks(spark, d))
+
+
+@query(f"SELECT world, block, CASE block WHEN 25 THEN 24 WHEN 20 THEN 0 ELSE under END AS under FROM {_BLOCKS}")
+def blocks_moved(spark, d):
+    """A clear block goes onto another and one to the ground; one that carries another stays, and none goes onto one that does."""
+    moves = table(spark, d, "region").select(F.lit(1).alias("world"), F.element_at(F.array(*map(F.lit, (25, 20, 1, 22, 23))), F.col("r_regionkey") + 1).alias("block"), F.element_at(F.array(*map(F.lit, (24, 0, 24, 3, 23))), F.col("r_regionkey") + 1).alias("target"))
+    return G.move_block(_blocks(spark, d), moves)
+
+
+@query("SELECT 1 AS world, false AS reached UNION ALL SELECT 2, true")
+def blocks_goal(spark, d):
+    on = _blocks(spark, d)
+    both = on.union(on.withColumn("world", F.lit(2)))
+    return G.goal_reached(both, both.withColumn("under", F.when(F.col("world") == 1, 0).otherwise(F.col("under"))))
+
+
+@query("SELECT 'husband' AS rel, 400 AS n UNION ALL SELECT 'wife', 400 UNION ALL SELECT 'father', 600 UNION ALL SELECT 'mother', 600 UNION ALL SELECT 'child', 1200")
+def family_generated(spark, d):
+    """Eight hundred people in four generations: everyone but the first has two parents, each of whom has them as a child."""
+    rel = F.when(F.col("rel").isin("son", "daughter"), "child").otherwise(F.col("rel"))
+    return G.random_family(spark, 800).groupBy(rel.alias("rel")).agg(F.count("*").cast("int").alias("n"))

@@ -269,3 +269,62 @@ SELECT l_linenumber, round(sum(p * cp / cn) / sum(p), 6) AS average_precision FR
 """)
 def average_precision_by_label(spark, d):
     return M.label_average_precision(_scores(spark, d), "score", "label", ["l_linenumber"]).withColumn("average_precision", F.round("average_precision", 6))
+
+
+@query(f"SELECT event_id, CASE WHEN label * 5 - 2 > 0 THEN 1 ELSE 0 END AS label FROM {_EVENTS}")
+def label_binary(spark, d):
+    return I.label_01(_events(spark, d).withColumn("label", F.col("label") * 5 - 2)).select("event_id", "label")
+
+
+@query(f"SELECT event_id FROM {_EVENTS} WHERE label > 0")
+def positives(spark, d):
+    return I.drop_negatives(_events(spark, d)).select("event_id")
+
+
+_BEFORE = f"(SELECT event_id, list(CASE WHEN label > 0 THEN iid ELSE -iid END) OVER (PARTITION BY uid ORDER BY time, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM {_EVENTS})"
+
+
+def _histories(spark, d):
+    return I.history(_events(spark, d), 4, "signed", ["time", "event_id"])
+
+
+@query(f"SELECT event_id FROM {_BEFORE} WHERE len(h) > 0")
+def history_not_empty(spark, d):
+    return I.drop_first(_histories(spark, d)).select("event_id")
+
+
+@query(f"SELECT event_id, array_to_string(list_concat(list_transform(range(0, 6 - len(coalesce(h, [])[-4:])), lambda x: 0), coalesce(h, [])[-4:]), ',') AS padded FROM {_BEFORE}")
+def history_padded(spark, d):
+    return _histories(spark, d).select("event_id", _text(I.padded(F.col("history"), 6)).alias("padded"))
+
+
+@query(f"SELECT event_id, abs(v) AS item, sign(v)::INT AS sign FROM (SELECT event_id, unnest(h[-4:]) AS v FROM {_BEFORE})")
+def history_signs(spark, d):
+    return I.sparse_signs(_histories(spark, d), "event_id", "history")
+
+
+@query(f"""
+WITH u AS (SELECT uid, count(DISTINCT iid) AS seen FROM {_EVENTS} GROUP BY uid), n AS (SELECT count(DISTINCT iid) AS n FROM {_EVENTS})
+SELECT uid, least(24, n - seen) AS n, true AS fresh FROM u, n WHERE n > seen
+""")
+def negatives_complete(spark, d):
+    """As many negatives as asked for or all there are, and none that is known."""
+    e = _events(spark, d)
+    got = I.negatives(e, e, e, 24).join(e.select("uid", "iid", F.lit(1).alias("known")).distinct(), ["uid", "iid"], "left")
+    return got.groupBy("uid").agg(F.countDistinct("iid").alias("n"), (F.count("known") == 0).alias("fresh"))
+
+
+_LINKS = "(SELECT DISTINCT o_custkey AS src, -l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
+
+
+@query(f"""
+WITH n AS (SELECT count(*) AS n FROM {_LINKS})
+SELECT split, n, true AS absent FROM (SELECT 'test' AS split, floor(n * 0.2 + 1e-9)::BIGINT AS n FROM n UNION ALL SELECT 'validation', floor(n * 0.1 + 1e-9)::BIGINT FROM n UNION ALL SELECT 'train', n - floor(n * 0.2 + 1e-9)::BIGINT - floor(n * 0.1 + 1e-9)::BIGINT FROM n)
+""")
+def link_split(spark, d):
+    """Edges of each split, and whether every negative edge is one that doesn't occur."""
+    o, l = table(spark, d, "orders"), table(spark, d, "lineitem")
+    e = o.join(l, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("src"), (-F.col("l_suppkey")).alias("dst")).distinct()
+    out = S.link_split(e, e.select("dst").distinct(), 0.1, 0.2)
+    known = e.select("src", F.col("dst").alias("neg"), F.lit(1).alias("known"))
+    return out.join(known, ["src", "neg"], "left").groupBy("split").agg(F.count("*").alias("n"), ((F.count("known") == 0) & (F.count("neg") == F.count("*"))).alias("absent"))

@@ -238,3 +238,164 @@ def text_accuracy(spark, d):
 
     rows = table(spark, d, "train_data")
     return M.text_scores(rows, "consistency", "injected_pattern").crossJoin(rows.agg(F.count("*").alias("n"))).select(F.round("accuracy", 6).alias("accuracy"), "n")
+
+
+_CUT = r"""regexp_replace({x}, '(\p{Ll}[\p{Ll}\p{Lt}\p{Lm}\p{Lo}\p{N}]*)(\p{Lu})', '\1 \2', 'g')"""
+_TERMS = r"array_to_string(list_filter(regexp_split_to_array(lower(" + _CUT + r"), '[^\p{L}\p{N}]+'), lambda t: t <> ''), ' ')"
+
+
+@query("SELECT DISTINCT file_name, " + _TERMS.replace("{x}", "regexp_extract(file_name, '([^/#]*)$', 1)") + " AS terms FROM train_data WHERE file_name IS NOT NULL")
+def term_tokens(spark, d):
+    names = table(spark, d, "train_data").select("file_name").filter("file_name is not null").distinct()
+    return names.select("file_name", F.array_join(X.term_tokens(F.col("file_name")), " ").alias("terms"))
+
+
+@query(r"""
+SELECT DISTINCT file_name, array_to_string(list_transform(regexp_extract_all(file_name, '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, 12, '0') ELSE x END), '') AS key,
+  trim(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(file_name, '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Za-z])([0-9])', '\1 \2', 'g'), '([0-9])([A-Za-z])', '\1 \2', 'g')), '[^a-z0-9]+', ' ', 'g')) AS plain,
+  array_to_string(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(file_name, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g')), '[^a-z0-9]+'), lambda x: x <> ''), ' ') AS words
+FROM train_data WHERE file_name IS NOT NULL
+""")
+def name_forms(spark, d):
+    """Sort keys, plain names and words of file names."""
+    f = F.col("file_name")
+    names = table(spark, d, "train_data").select("file_name").filter("file_name is not null").distinct()
+    return names.select("file_name", X.natural_key(f).alias("key"), X.plain_name(f).alias("plain"), F.array_join(X.camel_words(f), " ").alias("words"))
+
+
+@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS likeness FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 20 = 0")
+def cosine(spark, d):
+    """Every twentieth vector as a query against all vectors of its label."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
+    both = e.filter("vec_id % 20 = 0").toDF("a", "label", "ea").join(e.toDF("b", "label", "eb"), "label")
+    return both.select("a", "b", F.round(X.cosine(F.col("ea"), F.col("eb")), 6).alias("likeness"))
+
+
+_SHORT = r"""(SELECT p_partkey AS k, p_brand || 'XMLPart' || p_size || 'Kind' AS s, 'isMadeBy' AS p, p_type || ' ' || p_name AS o FROM part)"""
+
+
+def _part_triples(spark, d):
+    p = table(spark, d, "part")
+    return p.select(F.col("p_partkey").alias("k"), F.concat("p_brand", F.lit("XMLPart"), F.col("p_size").cast("string"), F.lit("Kind")).alias("s"), F.lit("isMadeBy").alias("p"), F.concat_ws(" ", "p_type", "p_name").alias("o"))
+
+
+@query(f"""
+WITH t AS (SELECT k, unnest(string_split({_TERMS.replace("{x}", "regexp_extract(x, '([^/#]*)$', 1)")}, ' ')) AS token FROM (SELECT k, unnest([s, p, o]) AS x FROM {_SHORT})),
+h AS (SELECT k, sha256(token) AS h FROM t),
+w AS (SELECT k, ('0x' || substr(h, 1, 16))::UBIGINT % 10 AS index, sum((CASE WHEN ('0x' || substr(h, 17, 2))::INT % 2 = 1 THEN -1.0 ELSE 1.0 END) * (1 + ('0x' || substr(h, 19, 2))::INT / 255)) AS v FROM h GROUP BY ALL)
+SELECT k, index, round(v / sqrt(sum(v * v) OVER (PARTITION BY k)), 6) AS value FROM w WHERE v <> 0
+""")
+def triple_embed(spark, d):
+    """Hash embeddings of triples by the tokens of their terms, in a number of dimensions that is no power of two."""
+    terms = _part_triples(spark, d).select("k", F.explode(F.array("s", "p", "o")).alias("term"))
+    tokens = terms.select("k", F.explode(X.term_tokens(F.col("term"))).alias("token"))
+    return T.hash_embedding(tokens, "k", 10).withColumn("value", F.round("value", 6))
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^A-Za-z0-9_]+')) AS token FROM documents),
+e AS (SELECT doc_id, sha256(doc_id || ':' || coalesce(source, '')) AS h FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM t WHERE token <> '')),
+v AS (SELECT doc_id, i AS index, ('0x' || substr(h, (i * 2 + 1)::BIGINT, 2))::INT / 255 * 2 - 1 AS v FROM e, (SELECT unnest(range(0, 16)) AS i))
+SELECT doc_id, index::INT AS index, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 6) AS value FROM v
+""")
+def hash_embed_fallback(spark, d):
+    """Vectors of the documents without any word, from a hash of what else is known."""
+    docs = table(spark, d, "documents")
+    tokens = docs.select("doc_id", F.explode(X.word_tokens(F.col("text"))).alias("token"))
+    raw = docs.select("doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.coalesce("source", F.lit(""))).alias("raw"))
+    out = T.hash_embedding(tokens, "doc_id", 16, fallback=F.col("raw"), source=raw)
+    return out.join(tokens.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("value", F.round("value", 6))
+
+
+def _nation_lines(spark, d):
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    both = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    name = lambda c: F.concat(F.lit("ex:"), F.replace(c, F.lit(" "), F.lit("")))
+    lines = F.array(
+        F.lit("Prefix: ex: <http://x.org/>"), F.concat(F.lit("Individual: "), name("n_name")), F.lit("Types:"), name("r_name"), F.concat(F.lit("and ex:Land")), F.lit("Facts:"),
+        F.concat(F.lit("ex:hasKey  "), F.col("n_nationkey").cast("string")), F.concat(F.lit("ex:lies in"), F.lit("  "), name("r_name")), F.lit("DisjointWith:"), F.lit("ex:Sea, ex:Air"),
+    )
+    return both.select(F.col("n_name").alias("file_name"), F.posexplode(lines).alias("line_no", "line"))
+
+
+@query("""
+WITH n AS (SELECT n_name AS file_name, replace(n_name, ' ', '') AS s, replace(r_name, ' ', '') AS r, n_nationkey::VARCHAR AS k FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT file_name, s, 'is' AS p, r || ' and Land' AS o FROM n UNION ALL SELECT file_name, s, 'hasKey', k FROM n UNION ALL SELECT file_name, s, 'lies in', r FROM n
+UNION ALL SELECT file_name, s, 'DisjointWith', unnest(['Sea', 'Air']) FROM n
+""")
+def line_triples(spark, d):
+    """Ontology lines without their prefixes, as cleaned triples."""
+    return T.clean_triples(T.translate_lines(T.remove_prefixes(_nation_lines(spark, d)))).select("file_name", "s", "p", "o")
+
+
+_FEATURES = ("owl_pred=subclassof", "owl_pred=disjointwith", "owl_pred=equivalentto", "owl_pred=subpropertyof", "owl_pred=domain", "owl_pred=range", "obj_op=not", "obj_op=some", "graph:subclass_cycle", "graph:subclass_chain_len2", "n_triples>=3", "pred=label", "pred=note")
+_FEATURE_ROWS = f"(SELECT p_type AS onto, {list(_FEATURES)}[(p_partkey * 7 + p_size) % {len(_FEATURES)} + 1] AS f FROM part WHERE p_size < 30)"
+
+
+@query(f"""
+WITH h AS (SELECT onto, bool_or(f = 'owl_pred=subclassof') AS sub, bool_or(f = 'owl_pred=disjointwith') AS dis, bool_or(f = 'owl_pred=equivalentto') AS equ, bool_or(f = 'owl_pred=subpropertyof') AS prop,
+  bool_or(f = 'owl_pred=domain') AS dom, bool_or(f = 'owl_pred=range') AS ran, bool_or(f = 'obj_op=not') AS neg, bool_or(f = 'graph:subclass_cycle') AS cyc, bool_or(f = 'graph:subclass_chain_len2') AS multi FROM {_FEATURE_ROWS} GROUP BY onto)
+SELECT onto, 'rule_subclass_cycle' AS rule FROM h WHERE cyc UNION ALL SELECT onto, 'rule_disjoint_subclass_conflict' FROM h WHERE sub AND dis AND multi UNION ALL SELECT onto, 'rule_disjoint_equivalent_mix' FROM h WHERE equ AND dis
+UNION ALL SELECT onto, 'rule_property_constraint_mix' FROM h WHERE prop AND dom AND ran UNION ALL SELECT onto, 'rule_negated_restriction' FROM h WHERE sub AND neg
+""")
+def rule_atoms(spark, d):
+    p = table(spark, d, "part").filter("p_size < 30")
+    at = ((F.col("p_partkey") * 7 + F.col("p_size")) % len(_FEATURES) + 1).cast("int")
+    return T.rule_atoms(p.select(F.col("p_type").alias("onto"), F.element_at(F.array(*map(F.lit, _FEATURES)), at).alias("feature")))
+
+
+@query("SELECT DISTINCT l_suppkey AS onto, l_partkey % 40 AS s, l_orderkey % 40 AS o, l_linenumber AS p FROM lineitem WHERE l_partkey % 40 < 30 AND l_orderkey % 40 < 30 AND l_linenumber < 4")
+def multi_hot(spark, d):
+    l = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("onto"), (F.col("l_partkey") % 40).alias("s_id"), (F.col("l_orderkey") % 40).alias("o_id"), F.col("l_linenumber").alias("p_id"))
+    return T.multi_hot(l, 30, 4)
+
+
+@query('SELECT event_id, sum(event_id % 9 + 1) OVER w - event_id % 9 - 1 AS start, sum(event_id % 9 + 1) OVER w AS "end" FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)')
+def relative_positions(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", (F.col("event_id") % 9 + 1).alias("size"))
+    return T.relative_positions(e, "user_id", "event_id", "size").select("event_id", "start", "end")
+
+
+@query("""
+SELECT k FROM (SELECT p_partkey AS k, ['label', 'is', 'Note', 'madeOf'][p_partkey % 4 + 1] AS p, CASE WHEN p_size % 5 = 0 THEN 'skos:Concept' WHEN p_size % 5 = 1 THEN 'http://x.org/skos/1' ELSE p_name END AS o FROM part)
+WHERE lower(p) NOT IN ('label', 'comment', 'note', 'seealso', 'isdefinedby') AND NOT regexp_matches(lower(o), '(^|[ /:#(])skos[:/#]')
+""")
+def annotations_dropped(spark, d):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    o = F.when(size % 5 == 0, "skos:Concept").when(size % 5 == 1, "http://x.org/skos/1").otherwise(F.col("p_name"))
+    p = F.element_at(F.array(*map(F.lit, ("label", "is", "Note", "madeOf"))), (k % 4 + 1).cast("int"))
+    return T.drop_annotations(table(spark, d, "part").select(k.alias("k"), F.col("p_type").alias("s"), p.alias("p"), o.alias("o"))).select("k")
+
+
+@query("SELECT row_id FROM train_data WHERE tokenized_length <= 4096")
+def within_length(spark, d):
+    return T.within_length(table(spark, d, "train_data")).select("row_id")
+
+
+@query(f"SELECT onto, pos FROM {_TRIPLES} QUALIFY row_number() OVER (PARTITION BY onto ORDER BY pos) <= 7")
+def first_triples(spark, d):
+    """What a reader of fixed length keeps of each ontology."""
+    return T.first_triples(_event_triples(spark, d), 7).select("onto", "pos")
+
+
+@query(f"""
+WITH e AS (SELECT onto, e, row_number() OVER (PARTITION BY onto ORDER BY min(a)) AS nth FROM (SELECT onto, s AS e, pos * 2 AS a FROM {_TRIPLES} UNION ALL SELECT onto, o, pos * 2 + 1 FROM {_TRIPLES}) GROUP BY onto, e)
+SELECT e.onto, count(*) AS entities, count(*) FILTER (nth > 6) AS overflow, (SELECT count(*) FROM (SELECT onto, unnest([s, o]) AS x FROM {_TRIPLES}) t JOIN e f ON f.onto = t.onto AND f.e = t.x AND f.nth > 6 WHERE t.onto = e.onto) AS unknown_ends FROM e GROUP BY e.onto
+""")
+def entity_overflow(spark, d):
+    return T.entity_overflow(_event_triples(spark, d), 6)
+
+
+@query("""
+WITH f AS (SELECT DISTINCT l_orderkey AS k, 'mode' || l_linenumber AS feature FROM lineitem UNION SELECT DISTINCT l_orderkey, 'flag' || l_returnflag FROM lineitem),
+y AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label FROM orders),
+c AS (SELECT feature, count(*) AS df, sum(label) AS p, sum(1 - label) AS q FROM f JOIN y USING (k) GROUP BY feature), t AS (SELECT sum(label) AS pos, sum(1 - label) AS neg FROM y)
+SELECT feature, CASE WHEN p / pos >= q / neg THEN 1 ELSE -1 END AS polarity FROM c, t
+QUALIFY row_number() OVER (PARTITION BY feature[1:4] ORDER BY round(abs(p / pos - q / neg), 12) DESC, round(p / pos + q / neg, 12) DESC, feature) <= 2
+""")
+def grouped_vocabulary(spark, d):
+    """The two best features of each group, and the class that they speak for."""
+    l = table(spark, d, "lineitem")
+    f = l.select(F.col("l_orderkey").alias("k"), F.explode(F.array(F.concat(F.lit("mode"), "l_linenumber"), F.concat(F.lit("flag"), "l_returnflag"))).alias("feature"))
+    y = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("label"))
+    return T.polarity(T.supervised_vocabulary(f, y, "k", 2, group=F.substring("feature", 1, 4))).select("feature", "polarity")

@@ -66,7 +66,7 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ontologies(spark: SparkSession, path: str) -> DataFrame:
-    """An ontology CSV; bodies may hold line ends and quotes. A null label reads as consistent, a null pattern stays null."""
+    """An ontology CSV; bodies may hold line ends and quotes. Empty fields are null; a null label reads as consistent, a null pattern stays null."""
     rows = spark.read.schema(ONTOLOGY).csv(path, header=True, multiLine=True, quote='"', escape='"')
     return rows.fillna("Consistent", ["consistency"])
 
@@ -81,7 +81,8 @@ def require_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
 def write_splits(df: DataFrame, base: str, split: str = "split") -> DataFrame:
     """One CSV folder for each split, and the summary that ``split_summary`` gives."""
     for name in [r[0] for r in df.select(split).distinct().collect()]:  # names of splits
-        df.filter(F.col(split) == name).drop(split).write.mode("overwrite").csv(f"{base}/{name}", header=True, quote='"', escape='"')
+        rows = df.filter(F.col(split) == name).drop(split)
+        rows.write.mode("overwrite").csv(f"{base}/{name}", header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return split_summary(df, split)
 
 
