@@ -17,8 +17,10 @@ Texts are compared as they stand, by code points and whole.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -343,9 +345,8 @@ class SharedSpans:
     def passages(self) -> DataFrame:
         """``(doc_id, partner_id, start, end, partner_start, partner_end, matched, longest, score)``: chains aligned character by character, and exact runs.
 
-        ``matched`` counts the equal characters of the alignment and ``longest`` its longest exact run. Seeds are
-        extended to both sides as far as the texts agree; what lies between seeds on one diagonal is compared in
-        place. A partner's text joins each of its chains; a partner that very many share is split by adaptive execution.
+        ``matched`` counts the equal characters of the alignment and ``longest`` its longest exact run. The ends are
+        extended as far as the texts agree; within, only what lies between anchors is compared by character (``common_runs``). A partner's text joins each of its chains; a partner that very many share is split by adaptive execution.
         A chain has one partner per seed, which may share less than ``length``; so each exact run comes out too, with a
         holder of it and its length as ``score``, unless a chain's passage with that holder contains it.
         """
@@ -377,16 +378,67 @@ class SharedSpans:
         )
 
 
+#: Lengths of the anchors of an alignment, long ones first, and the product of two gaps' lengths up to which all their characters are compared.
+ANCHORS, COMPARED = (32, 8), 250_000
+
+
+def anchors(one: np.ndarray, two: np.ndarray, k: int) -> np.ndarray:
+    """Places (x, y) at which both texts hold the same k characters, found once in either, ascending in both: as many as possible."""
+    (h1, first, n1), (h2, second, n2) = (np.unique(grams(c, k), return_index=True, return_counts=True) for c in (one, two))
+    _, a, b = np.intersect1d(h1[n1 == 1], h2[n2 == 1], assume_unique=True, return_indices=True)
+    x, y = first[n1 == 1][a], second[n2 == 1][b]
+    order = np.argsort(x)
+    x, y = x[order], y[order]
+    # the longest ascending run of y: for each length the least end, and what came before
+    ends: list[int] = []
+    at: list[int] = []
+    before = np.full(len(y), -1)
+    for i, v in enumerate(y.tolist()):
+        j = bisect_left(ends, v)
+        before[i] = at[j - 1] if j else -1
+        ends[j : j + 1], at[j : j + 1] = [v], [i]
+    keep, i = [], at[-1] if at else -1
+    while i >= 0:
+        keep.append(i)
+        i = before[i]
+    return np.stack([x[keep[::-1]], y[keep[::-1]]], axis=1) if keep else np.zeros((0, 2), np.int64)
+
+
+def common_runs(a: str, b: str, lengths: tuple[int, ...] = ANCHORS) -> list[int]:
+    """Lengths of the equal runs of an alignment of two texts.
+
+    Between anchors, which are widened to where the texts part, what is left is aligned by shorter anchors and in the end
+    by all its characters, unless both gaps are so long that they would have had anchors had they been alike.
+    """
+    if not a or not b:
+        return []
+    if not lengths or len(a) * len(b) <= COMPARED:
+        if len(a) * len(b) > COMPARED:
+            return []
+        return [m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size]
+    k, out, x0, y0 = lengths[0], [], 0, 0
+    one, two = code_points(a), code_points(b)
+    for x, y in anchors(one, two, k).tolist():
+        if x < x0 or y < y0:  # within the run before
+            continue
+        back = min(x - x0, y - y0)
+        parted = np.nonzero(one[x - back : x][::-1] != two[y - back : y][::-1])[0]
+        back = int(parted[0]) if len(parted) else back
+        reach = min(len(one) - x, len(two) - y)
+        parted = np.nonzero(one[x : x + reach] != two[y : y + reach])[0]
+        size = int(parted[0]) if len(parted) else reach
+        out += common_runs(a[x0 : x - back], b[y0 : y - back], lengths[1:])
+        out.append(back + size)
+        x0, y0 = x + size, y + size
+    return out + common_runs(a[x0:], b[y0:], lengths[1:])
+
+
 def align(a: str, b: str, x0: int, x1: int, y0: int, y1: int) -> tuple[int, int, int, int, int, int]:
     """The passage widened to where the texts stop agreeing, its equal characters, and its longest exact run."""
-    from difflib import SequenceMatcher
-
     while x0 and y0 and a[x0 - 1] == b[y0 - 1]:
         x0, y0 = x0 - 1, y0 - 1
     while x1 < len(a) and y1 < len(b) and a[x1] == b[y1]:
         x1, y1 = x1 + 1, y1 + 1
     one, two = a[x0:x1], b[y0:y1]
-    if one == two:
-        return x0, x1, y0, y1, len(one), len(one)
-    blocks = SequenceMatcher(None, one, two, autojunk=False).get_matching_blocks()
-    return x0, x1, y0, y1, sum(m.size for m in blocks), max(m.size for m in blocks)
+    runs = [len(one)] if one == two else common_runs(one, two)
+    return x0, x1, y0, y1, sum(runs), max(runs, default=0)
