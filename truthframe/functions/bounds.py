@@ -133,8 +133,7 @@ def region(x: Column, alpha: float = ALPHA) -> Column:
 
 def is_contradiction(x: Bounds, alpha: float = ALPHA) -> Column:
     """The bounds cross, and not merely within what counts as false or as true."""
-    low, high = region(x[0], alpha), region(x[1], alpha)
-    return (x[0] > x[1]) & ~((low == 1) & (high == 1)) & ~((low == 5) & (high == 5))
+    return (x[0] > x[1]) & (x[0] > 1 - alpha) & (x[1] < alpha)
 
 
 def state(x: Bounds, alpha: float = ALPHA) -> Column:

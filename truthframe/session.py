@@ -120,7 +120,7 @@ def local_frame(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Data
     kinds = StructType.fromDDL(schema)
     columns = list(zip(*rows)) or [()] * len(kinds)
     arrays = [pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, kinds)]
-    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=kinds.names), kinds)
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=kinds.names), kinds).coalesce(1)
 
 
 def settle(df: DataFrame, name: str = "stage", small: int = 10_000) -> tuple[DataFrame, pa.Table | None]:
@@ -128,7 +128,7 @@ def settle(df: DataFrame, name: str = "stage", small: int = 10_000) -> tuple[Dat
     head = df.limit(small + 1).toArrow()  # no more than that reaches the driver
     if head.num_rows > small:
         return materialize(df, name), None
-    return df.sparkSession.createDataFrame(head, df.schema), head
+    return df.sparkSession.createDataFrame(head, df.schema).coalesce(1), head  # of one partition: small frames meet without a shuffle
 
 
 def drop_written(df: DataFrame | None) -> None:
