@@ -287,7 +287,7 @@ class SharedSpans:
         if bits is None:
             bits = min(MOST_BITS, 1 << max(16, (SEED_BITS * self.shared.count()).bit_length()))
         self.docs = materialize(_seeded(texts, self.shared, length, self.k, bits), "texts")
-        self.chained = self.occurring = None
+        self.chained = self.regions = None
 
     def matches(self) -> DataFrame:
         """``(doc, partner, x, y)``: where a document and its partner hold the same seed."""
@@ -305,11 +305,16 @@ class SharedSpans:
             self.chained = materialize(_chains(self.matches(), self.k), "chains")
         return self.chained
 
+    def _passing(self) -> DataFrame:
+        """``(window, doc, place)`` of the windows within reach of the chains."""
+        if self.regions is None:
+            reach = self.length - self.k
+            spans = self.chains().groupBy("doc").agg(F.collect_list(F.struct((F.col("x0") - reach).alias("a"), (F.col("x1") + reach).alias("z"))).alias("spans"))
+            self.regions = materialize(self.docs.select("doc", "text").join(spans, "doc"), "regions")  # spans of one text, no more than its seeds
+        return _windows(self.regions, self.length)
+
     def _occurrences(self) -> DataFrame:
-        reach = self.length - self.k
-        spans = self.chains().groupBy("doc").agg(F.collect_list(F.struct((F.col("x0") - reach).alias("a"), (F.col("x1") + reach).alias("z"))).alias("spans"))
-        regions = materialize(self.docs.select("doc", "text").join(spans, "doc"), "regions")  # spans of one text, no more than its seeds
-        windows = _windows(regions, self.length)
+        windows = self._passing()
         held = windows.groupBy("window").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high")
         return windows.join(held, "window")
 
@@ -318,14 +323,17 @@ class SharedSpans:
 
         The holder of a window is the document with the smallest id (for that one, with the largest), at its first place there.
         """
-        if self.occurring is None:
-            self.occurring = materialize(self._occurrences(), "windows")
-        at = self.occurring
-        mine = at.withColumn("partner", F.when(F.col("doc") == F.col("low"), F.col("high")).otherwise(F.col("low")))
-        theirs = at.filter("doc = low or doc = high").groupBy("window", F.col("doc").alias("partner")).agg(F.min("place").alias("y"))
-        places = mine.join(theirs, ["window", "partner"]).select("doc", "partner", "place", (F.col("place") - F.col("y")).alias("diagonal")).distinct()
-        nth = F.row_number().over(Window.partitionBy("doc", "partner", "diagonal").orderBy("place"))  # within one text
-        runs = places.withColumn("run", F.col("place") - nth).groupBy("doc", "partner", "diagonal", "run").agg(F.min("place").alias("x0"), (F.max("place") + self.length).alias("x1"))
+        windows = self._passing()
+        # of the smallest and of the largest document, the first place
+        ends = [F.min(F.struct("doc", "place")).alias("low"), F.max(F.struct("doc", (-F.col("place")).alias("place"))).alias("high")]
+        held = windows.groupBy("window").agg(*ends).filter("low.doc < high.doc").select("window", "low.doc", "low.place", "high.doc", "high.place").toDF("window", "low", "at_low", "high", "at_high")
+        first = F.col("doc") == F.col("low")
+        partner, y = F.when(first, F.col("high")).otherwise(F.col("low")), F.when(first, -F.col("at_high")).otherwise(F.col("at_low"))
+        places = windows.join(held, "window").select("doc", partner.alias("partner"), "place", (F.col("place") - y).alias("diagonal"))
+        w = Window.partitionBy("doc", "partner", "diagonal").orderBy("place")  # within one text
+        begins = F.when(F.col("place") - F.lag("place").over(w) <= 1, 0).otherwise(1)
+        runs = places.withColumn("begins", begins).withColumn("run", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        runs = runs.groupBy("doc", "partner", "diagonal", "run").agg(F.min("place").alias("x0"), (F.max("place") + self.length).alias("x1"))
         return runs.select("doc", "partner", "x0", "x1", (F.col("x0") - F.col("diagonal")).alias("y0"), (F.col("x1") - F.col("diagonal")).alias("y1"))
 
     def documents(self) -> DataFrame:
@@ -346,18 +354,16 @@ class SharedSpans:
         """``(doc_id, partner_id, start, end, partner_start, partner_end, matched, longest, score)``: chains aligned character by character, and exact runs.
 
         ``matched`` counts the equal characters of the alignment and ``longest`` its longest exact run. The ends are
-        extended as far as the texts agree; within, only what lies between anchors is compared by character (``common_runs``). A partner's text joins each of its chains; a partner that very many share is split by adaptive execution.
-        A chain has one partner per seed, which may share less than ``length``; so each exact run comes out too, with a
-        holder of it and its length as ``score``, unless a chain's passage with that holder contains it.
+        extended as far as the texts agree; within, only what lies between anchors is compared by character
+        (``common_runs``). A partner's text joins each of its chains; a partner that very many share is split by
+        adaptive execution. A chain has one partner per seed, which may share less than ``length``; so each exact run comes out too, with its
+        holder (``exact_runs``) and its length as ``score``, unless a chain's passage with that holder contains it.
         """
-        chained = self.chains().select("doc", "partner", "x0", "x1", "y0", "y1", "score")
-        exact = self.exact_runs().withColumn("score", F.lit(None).cast("double"))
-        aligned = materialize(self._aligned(chained.unionByName(exact)), "passages")
-        fuzzy = aligned.filter("score is not null")
-        runs = aligned.filter("score is null").distinct().alias("r")
+        fuzzy = materialize(self._aligned(self.chains().select("doc", "partner", "x0", "x1", "y0", "y1", "score")), "passages")
+        size = F.col("x1") - F.col("x0")
+        runs = self.exact_runs().select("doc", "partner", "x0", "x1", "y0", "y1", size.alias("matched"), size.alias("longest"), size.cast("double").alias("score")).toDF(*fuzzy.columns).alias("r")
         within = "r.doc_id = c.doc_id and r.partner_id = c.partner_id and c.start <= r.start and r.end <= c.end and c.partner_start <= r.partner_start and r.partner_end <= c.partner_end"
-        alone = runs.join(fuzzy.alias("c"), F.expr(within), "left_anti")
-        return fuzzy.unionByName(alone.withColumn("score", F.col("matched").cast("double")))
+        return fuzzy.unionByName(runs.join(fuzzy.alias("c"), F.expr(within), "left_anti"))
 
     def _aligned(self, spans: DataFrame) -> DataFrame:
         theirs = self.docs.select(F.col("doc").alias("partner"), F.col("text").alias("other"))
