@@ -149,3 +149,11 @@ def test_models_that_spark_fits(spark):
         assert out.filter("prediction = y").count() == 60
     words = spark.createDataFrame([(["a", "b", "c"] * 4,)] * 10, "w array<string>")
     assert scorers.fit_word_vectors(words, "w", 4, minCount=1).getVectors().count() == 3
+
+
+def test_rendering_of_expressions(spark):
+    c = lambda n: ["class", n]
+    assert O.render(["and", c("A"), ["some", "r", ["or", c("B"), c("C")]]]) == "A and r some B or C"
+    assert O.render(["min", 2, "r", ["not", c("A")]]) == "r min 2 not A" and O.render(["oneof", "i", "j"]) == "OneOf: i, j"
+    assert O.render_axiom(["sub", c("A"), c("Thing")]) is None and O.render_axiom(["type", c("A"), "i"]) == "i Type A" and O.render_axiom(["fact", "p", "i", "j"]) == "i p j"
+    assert [r[0] for r in spark.createDataFrame([('["eq",["class","A"],["class","B"]]',), (None,)], "a string").select(O.manchester("a")).collect()] == ["A EquivalentTo B", None]

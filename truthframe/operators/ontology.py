@@ -41,12 +41,13 @@ def module_votes(predictions: DataFrame) -> DataFrame:
 # graphs from axioms (kinds as in patterns.py)
 
 
-def project(axioms: DataFrame, only_taxonomy: bool = False, both_ways: bool = False) -> DataFrame:
+def project(axioms: DataFrame, only_taxonomy: bool = False, both_ways: bool = False, literals: bool = True) -> DataFrame:
     """``(onto, s, p, o)``: the graph that the axioms span, a rule for each kind.
 
     Subclasses; equivalences in both directions; types; restrictions along their property; domain by range of a property;
-    facts, also by the inverse property turned round, and by properties above. ``both_ways`` adds ``superClassOf`` and
-    ``typeOf`` edges.
+    facts, also by the inverse property turned round, by properties above, and by equivalent ones (kind ``eqprop``);
+    individuals that are the same (``same``), as stated; with ``literals`` annotations (``annotation``: a, prop, the text
+    as b). ``both_ways`` adds ``superClassOf`` and ``typeOf`` edges.
     """
     k = lambda *names: axioms.filter(F.col("kind").isin(*names))
     edge = lambda df, s, p, o: df.select("onto", s.alias("s"), p.alias("p"), o.alias("o"))
@@ -63,8 +64,12 @@ def project(axioms: DataFrame, only_taxonomy: bool = False, both_ways: bool = Fa
         inverse = inverse.union(inverse.select("onto", "q", "p")).distinct()
         above = k("subprop").select("onto", F.col("a").alias("p"), F.col("b").alias("q"))
         turned = plain.join(inverse, ["onto", "p"]).select("onto", F.col("o").alias("s"), F.col("q").alias("p"), F.col("s").alias("o"))
+        equal = k("eqprop").select("onto", F.col("a").alias("p"), F.col("b").alias("q"))
+        above = above.union(equal).union(equal.select("onto", "q", "p")).distinct()
         lifted = plain.join(above, ["onto", "p"]).select("onto", "s", F.col("q").alias("p"), "o")
-        parts += [plain, turned, lifted]
+        parts += [plain, turned, lifted, edge(k("same"), a, F.lit("sameAs"), b)]
+        if literals:
+            parts.append(edge(k("annotation"), a, prop, b))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
@@ -249,6 +254,42 @@ def axiom_terms(axioms: Column | str) -> Column:
     return _axiom_terms(axioms)
 
 
+def render(e: list) -> str:
+    """A class expression in Manchester syntax, without brackets."""
+    op, *x = e
+    if op in ("and", "or"):
+        return f" {op} ".join(map(render, x))
+    if op in ("some", "only"):
+        return f"{x[0]} {op} {render(x[1])}"
+    if op in ("min", "max", "exactly"):
+        return f"{x[1]} {op} {x[0]} {render(x[2])}"
+    if op == "oneof":
+        return "OneOf: " + ", ".join(map(str, x))
+    return f"not {render(x[0])}" if op == "not" else str(x[0])
+
+
+def render_axiom(axiom: list) -> str | None:
+    """An axiom of a class or an individual as a line of Manchester syntax; null for other kinds, and for what is below everything or nothing."""
+    kind, *x = axiom
+    if kind in ("sub", "eq"):
+        right = render(x[1])
+        return None if right in ("Thing", "Nothing") else f"{render(x[0])} {'SubClassOf' if kind == 'sub' else 'EquivalentTo'} {right}"
+    if kind == "type":
+        return f"{x[1]} Type {render(x[0])}"
+    return f"{x[1]} {x[0]} {x[2]}" if kind == "fact" and len(x) == 3 else None
+
+
+@F.pandas_udf(StringType())
+def _manchester(axioms: pd.Series) -> pd.Series:
+    return axioms.map(lambda a: None if a is None else render_axiom(json.loads(a)))
+
+
+def manchester(axiom: Column | str) -> Column:
+    """``render_axiom`` of axioms as JSON lists."""
+    ship()
+    return _manchester(axiom)
+
+
 def _local_udf(bottom: bool, ignore_assertions: bool):
     @F.pandas_udf(BooleanType())
     def local(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -488,6 +529,30 @@ def richness(stats: DataFrame) -> DataFrame:
     return stats.select("onto", r(rel, "relationship"), r(inh, "inheritance"), r(pop, "population"), r(0.3 * rel + 0.3 * inh + 0.4 * pop, "design"))
 
 
+def knowledge_richness(stats: DataFrame, described: DataFrame) -> DataFrame:
+    """``(onto, readability, knowledge)``: comments and labels of classes and annotation properties, ``(onto, annotations)``, over the number of classes,
+    and its mean with the population and a third term that is always 0; both bounded by 1 and rounded to 2 digits."""
+    most = lambda c: F.least(F.lit(1.0), c)
+    rows = stats.join(described, "onto", "left").filter("classes > 0")
+    readability = most(F.coalesce("annotations", F.lit(0)) / F.col("classes"))
+    population = most(F.col("individuals") / F.col("classes"))
+    return rows.select("onto", F.round(readability, 2).alias("readability"), F.round((population + readability) / 3, 2).alias("knowledge"))
+
+
+def class_richness(subclass: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(onto, connected, adjacency, richness)`` of ``(onto, child, parent)`` and ``(onto, c)``: the share of classes that have a superclass, the mean over
+    classes of their squared neighbourhood (subclasses, superclasses and these' superclasses) over their number, and the mean of both; bounded by 1, rounded to 2 digits."""
+    e = subclass.select("onto", "child", "parent").filter("child != parent").distinct()
+    up = e.groupBy("onto", F.col("child").alias("c")).agg(F.count("*").alias("ups"))
+    down = e.groupBy("onto", F.col("parent").alias("c")).agg(F.count("*").alias("downs"))
+    far = e.join(up.select("onto", F.col("c").alias("parent"), "ups"), ["onto", "parent"]).groupBy("onto", F.col("child").alias("c")).agg(F.sum("ups").alias("fars"))
+    rows = classes.select("onto", "c").distinct().join(up, ["onto", "c"], "left").join(down, ["onto", "c"], "left").join(far, ["onto", "c"], "left").fillna(0, ["ups", "downs", "fars"])
+    near = F.col("ups") + F.col("downs") + F.col("fars")
+    out = rows.groupBy("onto").agg(F.count("*").alias("n"), F.count_if(F.col("ups") > 0).alias("below"), F.sum(near * near).alias("near"))
+    connected, adjacency = F.col("below") / F.col("n"), F.least(F.lit(1.0), F.col("near") / (F.col("n") * F.col("n")))
+    return out.select("onto", F.round(connected, 2).alias("connected"), F.round(adjacency, 2).alias("adjacency"), F.round((connected + adjacency) / 2, 2).alias("richness"))
+
+
 def connectivity(stats_edges: DataFrame) -> DataFrame:
     """``(onto, class, degree)``: relations of each class, from projected edges without the taxonomy."""
     e = stats_edges.filter(~F.col("p").isin("subClassOf", "superClassOf", "type", "typeOf"))
@@ -546,6 +611,13 @@ def merge_quality(inputs: DataFrame, merged: DataFrame) -> DataFrame:
     return found.crossJoin(same)
 
 
+def path_redundancy(inputs: DataFrame, merged: DataFrame, mapped: int) -> DataFrame:
+    """One row: subclass axioms of the inputs less the ``mapped`` names, over those of the merged ontology (null if it has none)."""
+    steps = lambda df, name: df.filter("kind = 'sub'").agg(F.count("*").alias(name))
+    both = steps(inputs, "before").crossJoin(steps(merged, "after"))
+    return both.select("before", "after", F.when(F.col("after") > 0, (F.col("before") - mapped) / F.col("after")).alias("redundancy"))
+
+
 def consistency_by_patterns(axioms: DataFrame) -> DataFrame:
     """``(onto, patterns)`` of ontologies in which an inconsistency pattern stands whole."""
     from truthframe.operators.patterns import PATTERNS, detect

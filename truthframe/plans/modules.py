@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from truthframe.operators import ontology as O
 from truthframe.operators import patterns as P
-from truthframe.plans.ontology import _AXIOMS, _BOTH, _CLASSES, _WHOLE, _axioms, _join
+from truthframe.plans.ontology import _AXIOMS, _BOTH, _CLASSES, _WHOLE, _axioms, _join, _nested
 from truthframe.plans.registry import query
 from truthframe.session import materialize, table
 
@@ -220,3 +220,66 @@ def seeds_completed(spark, d):
         one = P.detect(done, p).select("onto").distinct().join(P.detect(seed, p).select("onto"), "onto", "left_anti").select(F.lit(p).alias("pattern"))
         rows = one if rows is None else rows.union(one)
     return rows
+
+
+_MORE = "(SELECT * FROM ax UNION ALL SELECT onto, 'same', a, NULL, b, NULL FROM ax WHERE kind = 'fact' AND a < b UNION ALL SELECT onto, 'eqprop', a, NULL, b, NULL FROM ax WHERE kind = 'inverse' UNION ALL SELECT onto, 'annotation', a, 'label', 'the ' || b, NULL FROM ax WHERE kind = 'type')"
+
+
+def _more(spark, d):
+    ax = _axioms(spark, d)
+    none = F.lit(None).cast("string")
+    row = lambda rows, kind, prop, b: rows.select("onto", F.lit(kind).alias("kind"), "a", prop.alias("prop"), b.alias("b"), none.alias("n"))
+    same, label = row(ax.filter("kind = 'fact' and a < b"), "same", none, F.col("b")), row(ax.filter("kind = 'type'"), "annotation", F.lit("label"), F.concat(F.lit("the "), "b"))
+    return ax.union(same).union(row(ax.filter("kind = 'inverse'"), "eqprop", none, F.col("b"))).union(label)
+
+
+@query(f"""
+WITH {_AX}, m AS {_MORE}, q AS (
+  SELECT onto, a AS s, prop AS p, b AS o FROM m WHERE kind IN ('some', 'only', 'someand', 'fact') UNION SELECT onto, a, prop, n FROM m WHERE kind = 'someand'
+  UNION SELECT d.onto, d.b, d.prop, r.b FROM m d JOIN m r ON d.kind = 'domain' AND r.kind = 'range' AND d.onto = r.onto AND d.prop = r.prop),
+i AS (SELECT onto, a, b FROM m WHERE kind = 'inverse' UNION SELECT onto, b, a FROM m WHERE kind = 'inverse'),
+u AS (SELECT onto, a, b FROM m WHERE kind IN ('subprop', 'eqprop') UNION SELECT onto, b, a FROM m WHERE kind = 'eqprop')
+SELECT onto, a AS s, 'subClassOf' AS p, b AS o FROM m WHERE kind IN ('sub', 'eq') UNION SELECT onto, b, 'subClassOf', a FROM m WHERE kind = 'eq' UNION SELECT onto, a, 'type', b FROM m WHERE kind = 'type'
+UNION SELECT * FROM q UNION SELECT q.onto, q.o, i.b, q.s FROM q JOIN i ON q.onto = i.onto AND q.p = i.a UNION SELECT q.onto, q.s, u.b, q.o FROM q JOIN u ON q.onto = u.onto AND q.p = u.a
+UNION SELECT onto, a, 'sameAs', b FROM m WHERE kind = 'same' UNION SELECT onto, a, prop, b FROM m WHERE kind = 'annotation'
+""")
+def projection_with_literals(spark, d):
+    """Also individuals that are the same, equivalent properties and annotations."""
+    return O.project(_more(spark, d))
+
+
+@query(f"""
+SELECT onto, CASE kind WHEN 'some' THEN a || ' SubClassOf ' || prop || ' some ' || b WHEN 'only' THEN a || ' SubClassOf ' || prop || ' only ' || b WHEN 'sub' THEN a || ' SubClassOf ' || b ELSE a || ' EquivalentTo ' || b END AS line
+FROM {_AXIOMS} WHERE kind IN ('some', 'only', 'sub', 'eq')
+""")
+def manchester_lines(spark, d):
+    return _nested(spark, d).select("onto", O.manchester("axiom").alias("line")).filter("line is not null")
+
+
+@query(f"""
+WITH {_BOTH}, {_CLASSES}, x AS (SELECT * FROM {_AXIOMS}), e AS (SELECT DISTINCT onto, a, b FROM x WHERE kind = 'sub' AND a <> b),
+up AS (SELECT onto, a AS c, count(*) AS ups FROM e GROUP BY ALL), down AS (SELECT onto, b AS c, count(*) AS downs FROM e GROUP BY ALL), far AS (SELECT e.onto, e.a AS c, sum(ups) AS fars FROM e JOIN up ON up.onto = e.onto AND up.c = e.b GROUP BY ALL),
+r AS (SELECT cls.onto, coalesce(ups, 0) AS ups, coalesce(ups, 0) + coalesce(downs, 0) + coalesce(fars, 0) AS near FROM cls LEFT JOIN up USING (onto, c) LEFT JOIN down USING (onto, c) LEFT JOIN far USING (onto, c)),
+s AS (SELECT onto, count(*) FILTER (ups > 0) / count(*) AS k, least(1.0, sum(near * near) / (count(*) * count(*))) AS n FROM r GROUP BY onto)
+SELECT onto, round(k, 2) AS connected, round(n, 2) AS adjacency, round((k + n) / 2, 2) AS richness FROM s
+""")
+def class_richness(spark, d):
+    ax = _axioms(spark, d)
+    return O.class_richness(ax.filter("kind = 'sub'").select("onto", F.col("a").alias("child"), F.col("b").alias("parent")), P.classes_of(ax))
+
+
+@query(f"""
+WITH ax AS (SELECT * FROM {_AXIOMS}), c AS (SELECT onto, a AS x FROM ax WHERE kind IN ('sub', 'eq', 'dis', 'some', 'only', 'max1', 'someand') UNION SELECT onto, b FROM ax WHERE kind IN ('sub', 'eq', 'dis', 'some', 'only', 'someand', 'domain', 'range', 'type')),
+i AS (SELECT onto, a AS x FROM ax WHERE kind IN ('type', 'fact') UNION SELECT onto, b FROM ax WHERE kind = 'fact'),
+s AS (SELECT onto, count(*) FILTER (kind = 'type') AS t, (SELECT count(*) FROM c WHERE c.onto = ax.onto) AS n, (SELECT count(*) FROM i WHERE i.onto = ax.onto) AS ind FROM ax GROUP BY onto)
+SELECT onto, round(least(1.0, t / n), 2) AS readability, round((least(1.0, ind / n) + least(1.0, t / n)) / 3, 2) AS knowledge FROM s
+""")
+def knowledge_richness(spark, d):
+    ax = _axioms(spark, d)
+    return O.knowledge_richness(O.statistics(ax), ax.filter("kind = 'type'").groupBy("onto").agg(F.count("*").alias("annotations")))
+
+
+@query(f"SELECT b AS before, a AS after, round((b - 3) / a, 6) AS redundancy FROM (SELECT count(*) FILTER (kind = 'sub') AS b, (SELECT count(*) FROM (SELECT DISTINCT kind, {_renamed('a')}, {_renamed('b')} FROM {_AXIOMS} WHERE kind = 'sub')) AS a FROM {_AXIOMS})")
+def path_redundancy(spark, d):
+    ax = _axioms(spark, d)
+    return O.path_redundancy(ax, O.merge_by_mapping(ax, _mapping(spark, d)), 3).withColumn("redundancy", F.round("redundancy", 6))

@@ -199,9 +199,8 @@ def module_overlap(spark, d):
     return O.overlaps(m, 5).withColumn("jaccard", F.round("jaccard", 9))
 
 
-@query()
-def locality_module(spark, d):
-    """Modules of the derived ontologies for the seed class C1."""
+def _nested(spark, d):
+    """The derived axioms as nested lists in JSON."""
     ax = _axioms(spark, d)
     cls = lambda c: F.concat(F.lit('["class","'), c, F.lit('"]'))
     q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
@@ -214,7 +213,13 @@ def locality_module(spark, d):
         .when(k.isin("subprop", "inverse"), F.concat(F.lit('["'), k, F.lit('",'), q(F.col("a")), F.lit(","), q(F.col("b")), F.lit("]")))
         .when(k.isin("domain", "range"), F.concat(F.lit('["'), k, F.lit('",'), q(F.col("prop")), F.lit(","), cls(F.col("b")), F.lit("]")))
     )
-    rows = ax.select("onto", text.alias("axiom")).filter("axiom is not null")
+    return ax.select("onto", text.alias("axiom")).filter("axiom is not null")
+
+
+@query()
+def locality_module(spark, d):
+    """Modules of the derived ontologies for the seed class C1."""
+    rows = _nested(spark, d)
     return O.extract_module(rows, rows.select("onto", F.lit("C1").alias("term")))
 
 
