@@ -59,14 +59,28 @@ class LogicNet:
     def _fold(self, name: str, parts: list[np.ndarray]) -> np.ndarray:
         out = parts[0]
         for p in parts[1:]:
-            out = self._net(name, np.concatenate([out, p]))
+            out = self._net(name, np.concatenate([out, p], axis=-1))
+        return out
+
+    def scores(self, sentences: Sequence[Sequence[Sequence[int]]]) -> np.ndarray:
+        """Of all sentences, those of one shape together: a product of matrices for each step."""
+        out = np.zeros(len(sentences))
+        shapes: dict[tuple, list[int]] = {}
+        for i, dnf in enumerate(sentences):
+            shapes.setdefault(tuple(map(len, dnf)), []).append(i)
+        for shape, at in shapes.items():
+            groups = []
+            for g, size in enumerate(shape):
+                ids = np.array([list(sentences[i][g]) for i in at]).reshape(len(at), size)
+                values = self.variables[np.abs(ids)]
+                values = np.where((ids > 0)[..., None], values, self._net("not", values))
+                groups.append(self._fold("and", [values[:, k] for k in range(size)]))
+            vectors = self._fold("or", groups)
+            out[at] = self._likeness(vectors, np.broadcast_to(self.true, vectors.shape))
         return out
 
     def score(self, dnf: Sequence[Sequence[int]]) -> float:
-        value = lambda v: self.variables[v] if v > 0 else self._net("not", self.variables[-v])
-        vector = self._fold("or", [self._fold("and", [value(v) for v in group]) for group in dnf])
-        norms = np.linalg.norm(vector) * np.linalg.norm(self.true)
-        return float(1 / (1 + np.exp(-self.sharpness * (vector @ self.true) / norms))) if norms else 0.5
+        return float(self.scores([dnf])[0])
 
     def regularisers(self, vectors: np.ndarray) -> dict[str, float]:
         """How far the networks are from the laws of logic, each summed over the vectors: 0 where a law holds. ``length`` is the sum of the vectors' lengths."""
@@ -102,7 +116,8 @@ class LogicNet:
         @F.pandas_udf(DoubleType())
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for s in batches:
-                yield pd.Series([None if d is None else net.score(d) for d in s], dtype="float64")
+                known = s[s.notna()]
+                yield pd.Series(net.scores(known.tolist()), known.index, dtype="Float64").reindex(s.index)
 
         ship()
         return run(dnf)
@@ -114,15 +129,19 @@ class Recurrent:
     def __init__(self, items: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray):
         self.items, self.w, self.u, self.b = items, w, u, b
 
-    def state(self, history: Sequence[int]) -> np.ndarray:
+    def states(self, histories: Sequence[Sequence[int]]) -> np.ndarray:
+        """The last state of each history, all of them a step at a time; a history that has ended keeps its state."""
         n = self.u.shape[0]
-        h = np.zeros(n)
+        sizes = np.array([len(h) for h in histories], np.int64)
+        h = np.zeros((len(sizes), n))
         squash = lambda x: 1 / (1 + np.exp(-x))
-        for i in history:
-            x = self.items[i] @ self.w + self.b
-            z = squash(x[:n] + h @ self.u[:, :n])
-            r = squash(x[n : 2 * n] + h @ self.u[:, n : 2 * n])
-            h = (1 - z) * h + z * np.tanh(x[2 * n :] + (r * h) @ self.u[:, 2 * n :])
+        for step in range(sizes.max(initial=0)):
+            on = np.nonzero(sizes > step)[0]
+            x = self.items[[histories[i][step] for i in on]] @ self.w + self.b
+            now = h[on]
+            z = squash(x[:, :n] + now @ self.u[:, :n])
+            r = squash(x[:, n : 2 * n] + now @ self.u[:, n : 2 * n])
+            h[on] = (1 - z) * now + z * np.tanh(x[:, 2 * n :] + (r * now) @ self.u[:, 2 * n :])
         return h
 
     def column(self, history: Column, item: Column) -> Column:
@@ -131,7 +150,7 @@ class Recurrent:
         @F.pandas_udf(DoubleType())
         def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
             for hs, items in batches:
-                yield pd.Series([float(net.state(h) @ net.items[i]) for h, i in zip(hs, items)], dtype="float64")
+                yield pd.Series((net.states(hs.tolist()) * net.items[items.to_numpy()]).sum(axis=1), dtype="float64")
 
         ship()
         return run(history, item)

@@ -178,7 +178,18 @@ def votes(spark, d):
     return O.module_votes(table(spark, d, "predictions"))
 
 
-@query()
+# a body's entries stand in quotes, three in a bracket or three named ones in braces; what is left of a sound body is a list of such
+_QUOTED = r"""(?:''(?:[^''\\]|\\.)*''|"(?:[^"\\]|\\.)*"|“[^”]*”)"""
+_SOUND = r"^(\[|\()((\[s(,s)*,?\]|\(s(,s)*,?\)|\[\]|\(\)|\{s:s(,s:s)*\}),?)*(\]|\))$"
+
+
+@query(rf"""
+WITH body AS (SELECT trim(body, chr(32) || chr(9) || chr(10) || chr(13)) AS b FROM train_data WHERE body IS NOT NULL),
+good AS (SELECT b FROM body WHERE regexp_matches(regexp_replace(regexp_replace(b, '{_QUOTED}', 's', 'g'), '\s', '', 'g'), '{_SOUND}')),
+p AS (SELECT unnest(regexp_extract_all(b, '[\[(]\s*{_QUOTED}\s*,\s*({_QUOTED})\s*,\s*{_QUOTED}\s*,?\s*[\])]', 1)) AS p FROM good
+  UNION ALL SELECT regexp_extract(i, '["“]?(?:p|predicate|pred)["”]?\s*:\s*({_QUOTED})', 1) FROM (SELECT unnest(regexp_extract_all(b, '\{{(?:\s*{_QUOTED}\s*[:,]?)*\}}')) AS i FROM good))
+SELECT trim(substr(p, 2, length(p) - 2)) AS p, count(*) AS n FROM p GROUP BY 1
+""")
 def body_predicates(spark, d):
     """Predicates of all bodies, in whatever notation."""
     t = T.parse_bodies(table(spark, d, "train_data").select("body"))
