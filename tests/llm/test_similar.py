@@ -228,3 +228,15 @@ def test_annealing_never_ends_worse_than_it_starts():
     first, _ = anneal(units, start, np.array([0.5, 0.5]), 0, 1)
     last, at = anneal(units, start, np.array([0.5, 0.5]), 2000, 1)
     assert last < first / 100 and set(at) == {0, 1}
+
+
+def test_a_dense_region_worked_off_in_parts_stays_one_group(spark, monkeypatch):
+    from truthframe.llm import near
+
+    monkeypatch.setattr(near, "BUFFER", 500)
+    rng = random.Random(14)
+    base = [(f"E{i}", "is", "C") for i in range(30)]
+    rows = [(i, body(base + [(f"N{i}", "is", f"D{i}")], rng)) for i in range(25_000)] + [(30_000 + i, body([(f"X{i // 2}_{k}", "is", "C") for k in range(10)] + [(f"Y{i}", "is", "D")], rng)) for i in range(200)]
+    got = near_groups(spark.createDataFrame(rows, "row_id long, body string").repartition(4)).collect()
+    want = {(0, i) for i in range(25_000)} | {(30_000 + i // 2 * 2, 30_000 + i) for i in range(200)}
+    assert {(r.first_row_id, r.row_id) for r in got} == want
