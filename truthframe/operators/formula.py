@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from truthframe.functions import bounds as B
 from truthframe.operators.relation import (
-    Const, Relation, exists_down, exists_up, exists_up_grounded, forall_down, forall_up, forall_up_grounded, gather, groundings_of, merge, unique_variables,
+    Const, Relation, exists_down, exists_up, exists_up_grounded, forall_down, forall_up, forall_up_grounded, gather, groundings_of, unique_variables,
 )
 from truthframe.session import drop_written, materialize, settle
 
@@ -274,13 +274,8 @@ class Theory:
         rel = self.relation(f)
         if isinstance(f, Atom):  # constants go back to their places
             proofs = proofs.select(*((F.lit(a.value) if isinstance(a, Const) else F.col(a)).alias(k) for k, a in zip(rel.keys, f.arguments)), "l", "u")
-        then = rel.tighten(proofs, side)
-        low, high = B.WORLDS[rel.world]
-        old = rel.df.select(*rel.keys, F.col("l").alias("ol"), F.col("u").alias("ou"))
-        both = then.df.join(old, rel.keys, "left") if rel.keys else then.df.crossJoin(old)
-        moved = F.abs(F.col("l") - F.coalesce("ol", F.lit(low))) + F.abs(F.col("u") - F.coalesce("ou", F.lit(high)))
         # the change is summed up while the relation is written; a small one is kept with the plan
-        counted = both.select(*rel.keys, "l", "u", moved.alias("moved"))
+        counted = rel.tightened(proofs, side)
         out, head = settle(counted, "relation") if getattr(rel, "_rows", 0) <= SMALL else (None, None)
         if head is not None:
             change, rows = sum(head.column("moved").to_pylist()), head.num_rows
@@ -342,7 +337,7 @@ class Theory:
         both, _ = settle(both, "bounds", SMALL)  # all operands are proved from the same bounds
         change = 0.0
         for o, (l, u) in zip(f.operands, proofs):
-            change += self._update(o, merge(both.select(*o.variables, l.alias("l"), u.alias("u")), o.variables))
+            change += self._update(o, both.select(*o.variables, l.alias("l"), u.alias("u")))
         drop_written(both)
         return change
 

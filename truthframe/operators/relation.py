@@ -41,12 +41,16 @@ class Relation:
 
     def tighten(self, proofs: DataFrame, side: str = "both") -> Relation:
         """Bounds after proofs (keys, l, u), several for one grounding allowed; new groundings start from the world's bounds."""
+        return self._with(self.tightened(proofs, side))
+
+    def tightened(self, proofs: DataFrame, side: str = "both") -> DataFrame:
+        """Keys and bounds after proofs, and ``moved``: by how much either bound of a grounding changed, from the world's where it is new."""
         low, high = B.WORLDS[self.world]
         new = merge(proofs.select(*self.keys, "l", "u"), self.keys).select(*self.keys, F.col("l").alias("pl"), F.col("u").alias("pu"))
         both = self.df.join(new, self.keys, "full") if self.keys else self.df.crossJoin(new)
         old = F.coalesce("l", F.lit(low)), F.coalesce("u", F.lit(high))
         l, u = B.tighten(old, (F.coalesce("pl", F.lit(0.0)), F.coalesce("pu", F.lit(1.0))), side)
-        return self._with(both.select(*self.keys, l.alias("l"), u.alias("u")))
+        return both.select(*self.keys, l.alias("l"), u.alias("u"), (F.abs(l - old[0]) + F.abs(u - old[1])).alias("moved"))
 
     def reset(self) -> Relation:
         return self._with(self.leaves)

@@ -23,7 +23,7 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def get_spark(app: str = "truthframe", master: str | None = None, partitions: int | None = None) -> SparkSession:
-    """The running session, or a new one with adaptive execution on and UTC as time zone."""
+    """The running session, or a new one with adaptive execution on and UTC as time zone; columns don't record their place in the caller's code, which takes most of the time of building large plans."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
@@ -35,6 +35,7 @@ def get_spark(app: str = "truthframe", master: str | None = None, partitions: in
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
