@@ -202,3 +202,26 @@ def test_align_widens_and_measures():
     assert (start, end) == (2, 17) and matched >= 12 and longest == 6
 
 
+
+
+def test_operators_on_plain_frames_find_the_package(tmp_path):
+    """The package on no worker's path, and frames that the caller made."""
+    import subprocess
+    import sys
+
+    import truthframe
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(truthframe.__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from truthframe.session import get_spark
+from truthframe.llm.splitting import split_oversized
+from truthframe.llm.terms import term_frequencies
+spark = get_spark("alone", "local[2]", 2)
+df = spark.createDataFrame([(1, str([["a%d" % i, "is", "b"] for i in range(300)]))], "row_id long, body string")
+print(split_oversized(df).count() > 1, term_frequencies(df).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd="/", env=env, capture_output=True, text=True, timeout=300)
+    assert out.stdout.strip() == "True 302", out.stderr[-2000:]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from truthframe.functions.bodies import parse_body
-from truthframe.session import drop_written, materialize
+from truthframe.session import drop_written, map_arrow, materialize
 
 _NOT_CONTENT = re.compile("[^a-z0-9\x1f]+")
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -98,7 +98,7 @@ def contents(df: DataFrame, id_col: str = "row_id", body_col: str = "body", leas
             yield pa.RecordBatch.from_arrays(cols, names=["id", "content", "n", "cid", "triples"][: len(cols)])
 
     picked = df.select(F.col(id_col).cast("long").alias("id"), F.col(body_col).alias("body")).filter("id is not null and body is not null")
-    return picked.mapInArrow(run, schema)
+    return map_arrow(picked, run, schema)
 
 
 def distinct_contents(rows: DataFrame, part: str = "cid") -> tuple[DataFrame, DataFrame]:

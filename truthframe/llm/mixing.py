@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from truthframe.llm.tokens import VOCABULARY, tokenizer
-from truthframe.session import materialize
+from truthframe.session import map_arrow, materialize
 
 #: Texts that one task lays out in order; a pattern is hashed into as many parts as it needs.
 PART = 50_000
@@ -145,7 +145,7 @@ def _sizes(df: DataFrame, id_col: str, text_col: str, source_col: str, vocabular
             )
 
     picked = df.select(F.col(id_col).cast("long").alias("doc_id"), source_name(F.col(source_col)).alias("source"), F.col(text_col).alias("text"))
-    return picked.filter("source is not null and length(text) > 0").mapInArrow(run, "doc_id long, source string, text_hash binary, n_tokens int")
+    return map_arrow(picked.filter("source is not null and length(text) > 0"), run, "doc_id long, source string, text_hash binary, n_tokens int")
 
 
 class Mixture:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from truthframe.llm.contents import contents, distinct_contents, mix
 from truthframe.operators.components import connected_components
-from truthframe.session import drop_written, materialize
+from truthframe.session import drop_written, map_arrow, materialize
 
 TREES, DEPTH, REGION, NEIGHBOURS = 20, 5, 24, 4
 #: Depth up to which the trees are relied on.
@@ -78,7 +78,7 @@ def _forest(records: DataFrame) -> DataFrame:
                 keys = pa.Array.from_buffers(pa.binary(), len(sig), [None, ends, pa.py_buffer(rows.tobytes())])
                 yield pa.RecordBatch.from_arrays([keys, b.column(0), b.column(1), par], names=["sig", "cid", "n", "parity"])
 
-    return records.select("cid", "n", "triples").mapInArrow(run, "sig binary, cid long, n int, parity long")
+    return map_arrow(records.select("cid", "n", "triples"), run, "sig binary, cid long, n int, parity long")
 
 
 def region_pairs(keys: np.ndarray, region: int = REGION, neighbours: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,7 +184,7 @@ def _candidates(forest: DataFrame, p: int, q: int) -> DataFrame:
 
     # equal signatures are spread over tasks by content; their rows are crowded ones
     ordered = forest.repartitionByRange("sig", "cid").sortWithinPartitions("sig", "cid")
-    return ordered.mapInArrow(run, "a long, b long, spoke boolean").groupBy("a", "b").agg(F.max("spoke").alias("spoke"))
+    return map_arrow(ordered, run, "a long, b long, spoke boolean").groupBy("a", "b").agg(F.max("spoke").alias("spoke"))
 
 
 def _postings(records: DataFrame) -> DataFrame:
@@ -202,7 +202,7 @@ def _postings(records: DataFrame) -> DataFrame:
             cols = [b.column(i).to_numpy()[row] for i in range(3)] + [par[row], tid.view(np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["cid", "n", "of", "parity", "triple"])
 
-    return records.select("cid", "n", "of", "triples").mapInArrow(run, "cid long, n int, of long, parity long, triple long")
+    return map_arrow(records.select("cid", "n", "of", "triples"), run, "cid long, n int, of long, parity long, triple long")
 
 
 def _for_partners(places: DataFrame, p: int, q: int) -> DataFrame:
@@ -228,7 +228,7 @@ def _for_partners(places: DataFrame, p: int, q: int) -> DataFrame:
             sizes = [pa.array(c.astype(np.int32)) for c in (np.minimum(own, other), np.maximum(own, other), own)]
             yield pa.RecordBatch.from_arrays(sizes + [c.take(pa.array(row)) for c in b.columns], names=["small", "large", "own", *b.schema.names])
 
-    return places.select("cid", "n", "of", "parity", "triple", "at").mapInArrow(run, "small int, large int, own int, cid long, n int, of long, parity long, triple long, at int")
+    return map_arrow(places.select("cid", "n", "of", "parity", "triple", "at"), run, "small int, large int, own int, cid long, n int, of long, parity long, triple long, at int")
 
 
 def exact_pairs(records: DataFrame, p: int, q: int) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from truthframe.llm.tokens import VOCABULARY, pieces
-from truthframe.session import materialize
+from truthframe.session import map_arrow, materialize
 
 CAPACITY, GROUP = 1024, 50_000
 
@@ -142,7 +142,7 @@ def fill_containers(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nth = F.row_number().over(Window.partitionBy("n_tokens", "salt").orderBy("doc_id", "piece"))
     ranked = items.withColumn("nth", nth).join(groups, ["n_tokens", "salt"])
     ranked = ranked.select("doc_id", "piece", "first_char", "n_chars", "n_tokens", (F.col("before") + F.col("nth")).alias("rank"))
-    return ranked.mapInArrow(run, "bin_id long, doc_id long, piece int, first_char int, n_chars int, n_tokens int")
+    return map_arrow(ranked, run, "bin_id long, doc_id long, piece int, first_char int, n_chars int, n_tokens int")
 
 
 def fill_report(bins: DataFrame, capacity: int = CAPACITY) -> DataFrame:

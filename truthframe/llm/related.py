@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from truthframe.operators.components import connected_components
-from truthframe.session import materialize
+from truthframe.session import map_arrow, materialize
 
 #: A university's number after its several spellings: University7, univ-0007, UNIV_7, U7.
 NUMBER = r"(?i)(?:university|univ|(?<![A-Za-z0-9])u)[ _-]*0*([0-9]+)"
@@ -183,7 +183,7 @@ def related_splits(
                 yield pa.RecordBatch.from_arrays([pa.array([best]), pa.array([chain]), pa.array([at.tolist()], pa.list_(pa.int32()))], names=["energy", "chain", "at"])
 
     if len(unit_ids):
-        best = spark.range(0, chains, 1, chains).mapInArrow(run, "energy double, chain long, at array<int>").orderBy("energy", "chain").first()["at"]
+        best = map_arrow(spark.range(0, chains, 1, chains), run, "energy double, chain long, at array<int>").orderBy("energy", "chain").first()["at"]
     else:
         best = []
     chosen = spark.createDataFrame([(u, names[s]) for u, s in zip(unit_ids, best)], "unit int, split_name string")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from truthframe.llm.contents import mix
-from truthframe.session import materialize
+from truthframe.session import map_arrow, materialize
 
 LENGTH, SEED = 200, 100
 #: Cost of a character of gap in either text, against 1 for a character of seed.
@@ -172,7 +172,7 @@ def _all_seeds(texts: DataFrame, length: int, k: int) -> DataFrame:
             once = np.unique(np.stack([h.view(np.int64), doc], axis=1), axis=0) if len(h) else np.zeros((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], names=["seed", "doc"])
 
-    return texts.mapInArrow(run, "seed long, doc long")
+    return map_arrow(texts, run, "seed long, doc long")
 
 
 def _filter(shared: DataFrame, bits: int) -> np.ndarray:
@@ -213,7 +213,7 @@ def _seeded(texts: DataFrame, shared: DataFrame, length: int, k: int, bits: int)
                 names=["doc", "text", "seeds", "places"],
             )
 
-    return texts.mapInArrow(run, "doc long, text string, seeds array<long>, places array<int>")
+    return map_arrow(texts, run, "doc long, text string, seeds array<long>, places array<int>")
 
 
 def _chains(matches: DataFrame, k: int) -> DataFrame:
@@ -243,7 +243,7 @@ def _chains(matches: DataFrame, k: int) -> DataFrame:
             yield batch(of(int(rest[0, 0]), int(rest[0, 1]), rest[:, 2:]))
 
     ordered = matches.select("doc", "partner", "x", "y").repartition("doc", "partner").sortWithinPartitions("doc", "partner", "x", "y")
-    return ordered.mapInArrow(run, "doc long, partner long, x0 int, x1 int, y0 int, y1 int, seeds int, score double")
+    return map_arrow(ordered, run, "doc long, partner long, x0 int, x1 int, y0 int, y1 int, seeds int, score double")
 
 
 def _windows(regions: DataFrame, length: int) -> DataFrame:
@@ -268,7 +268,7 @@ def _windows(regions: DataFrame, length: int) -> DataFrame:
             if hashes:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in ([x.view(np.int64) for x in hashes], docs, places)], names=["window", "doc", "place"])
 
-    return regions.select("doc", "text", "spans").mapInArrow(run, "window long, doc long, place int")
+    return map_arrow(regions.select("doc", "text", "spans"), run, "window long, doc long, place int")
 
 
 class SharedSpans:
@@ -379,8 +379,8 @@ class SharedSpans:
                 types = [pa.int64(), pa.int64()] + [pa.int32()] * 6 + [pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
-        return both.select("doc", "partner", "x0", "x1", "y0", "y1", "score", "text", "other").mapInArrow(
-            run, "doc_id long, partner_id long, start int, end int, partner_start int, partner_end int, matched int, longest int, score double"
+        return map_arrow(
+            both.select("doc", "partner", "x0", "x1", "y0", "y1", "score", "text", "other"), run, "doc_id long, partner_id long, start int, end int, partner_start int, partner_end int, matched int, longest int, score double"
         )
 
 

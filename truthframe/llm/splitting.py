@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from truthframe.llm.contents import mix
+from truthframe.session import map_arrow
 
 TOKEN = r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\r]"
 #: Tokens that the rolling hash spans, and the bits of it that are zero at a landmark (one token in 64).
@@ -153,4 +154,4 @@ def split_oversized(df: DataFrame, id_col: str = "row_id", body_col: str = "body
                 names=["row_id", "piece", "pieces", "first_token", "overlap_tokens", "n_tokens", "cut", "text"],
             )
 
-    return large.mapInArrow(run, f"row_id {kind}, piece int, pieces int, first_token int, overlap_tokens int, n_tokens int, cut string, text string")
+    return map_arrow(large, run, f"row_id {kind}, piece int, pieces int, first_token int, overlap_tokens int, n_tokens int, cut string, text string")

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from truthframe.session import map_arrow
+
 #: Terms that one task counts before it hands its counters on and starts anew.
 HELD = 300_000
 
@@ -67,7 +69,7 @@ def term_frequencies(df: DataFrame, body_col: str = "body") -> DataFrame:
                     yield from handed_on()
         yield from handed_on()
 
-    part = df.select(F.col(body_col).alias("body")).filter("body is not null").mapInArrow(run, "term string, occurrences long, records long")
+    part = map_arrow(df.select(F.col(body_col).alias("body")).filter("body is not null"), run, "term string, occurrences long, records long")
     return part.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 

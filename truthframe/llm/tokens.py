@@ -11,6 +11,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from truthframe.session import map_arrow
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published pre-tokenisation pattern that belongs to the vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
@@ -76,4 +78,4 @@ def pieces(df: DataFrame, id_col: str, text_col: str, capacity: int, vocabulary:
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.int32()) for c in cols)], names=["doc_id", "piece", "first_char", "n_chars", "n_tokens"])
 
     picked = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter(F.length("text") > 0)
-    return picked.mapInArrow(run, "doc_id long, piece int, first_char int, n_chars int, n_tokens int")
+    return map_arrow(picked, run, "doc_id long, piece int, first_char int, n_chars int, n_tokens int")
